@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import mixing, secrets, url_filter
+from linkspark.llm import bpe, mixing, secrets, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": mixing.op1_mix,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op6_bpe": bpe.op6_bpe,
         "op8_secrets": secrets.op8_secrets,
     }
 
@@ -20,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix": mixing.ORACLE_SQL,
+        "op2_substring_dedup": substring_dedup.ORACLE_SQL,
         "op4_url_filter": url_filter.ORACLE_SQL,
         "op8_secrets": secrets.ORACLE_SQL,
     }
