@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import bpe, mixing, secrets, substring_dedup, url_filter
+from linkspark.llm import bpe, mixing, ogg, secrets, substring_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": mixing.op1_mix,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_warc": warc.op3_warc,
         "op4_url_filter": url_filter.op4_url_filter,
         "op6_bpe": bpe.op6_bpe,
         "op8_secrets": secrets.op8_secrets,
+        "op9_ogg": ogg.op9_ogg,
     }
 
 
