@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -59,16 +60,28 @@ def decode(ids: Iterable[int], path: str) -> bytes:
     return b"".join(map(token_bytes(path).__getitem__, ids))
 
 
-def _by_bucket(texts: list[str | None], n_buckets: int, pattern: str) -> list[list[str]]:
-    """The distinct words of some texts, sorted within each bucket."""
-    words: set[str] = set()
-    find = _pattern(pattern).findall
+#: The code points that Unicode calls white space.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of other characters with a space before them, and white space. No pre-token of the public patterns goes over
+#: the end of such a run, so each distinct run is cut into pre-tokens once a block.
+_RUNS = re.compile(rf" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+").findall
+
+
+def _cut_runs(texts: list[str | None], pattern: str) -> dict[str, list[str]]:
+    """The distinct runs of some texts, each with its pre-tokens."""
+    runs: set[str] = set()
     for text in texts:
         if text:
-            words.update(find(text))
+            runs.update(_RUNS(text))
+    find = _pattern(pattern).findall
+    return {run: find(run) for run in runs}
+
+
+def _by_bucket(words: Iterable[str], n_buckets: int) -> list[list[str]]:
+    """Distinct words, sorted within each bucket."""
     out: list[list[str]] = [[] for _ in range(n_buckets)]
     mask, crc = n_buckets - 1, zlib.crc32
-    for word in sorted(words):
+    for word in sorted(set(words)):
         out[crc(word.encode()) & mask].append(word)
     return out
 
@@ -92,7 +105,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
 
     Every whole text is encoded as the tiktoken library does, without special tokens; null counts as empty and gives
     no ids. Rows that share an id each give a row. A word of any length is one word; a word that a third of all
-    texts hold is sent once by each block.
+    texts hold is sent once by each block. ``pattern`` may not join white space to what stands before it, nor more
+    than one space to what follows.
     """
     path = path or public_tokenizers.path(RANKS)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -101,7 +115,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     id_type = rows.schema[id_col].dataType.simpleString()
 
     def send(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        lists = _by_bucket(table.column("text").to_pylist(), n_buckets, pattern)
+        runs = _cut_runs(table.column("text").to_pylist(), pattern)
+        lists = _by_bucket(chain.from_iterable(runs.values()), n_buckets)
         some = [k for k, words in enumerate(lists) if words]
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([_pack_words(lists[k]) for k in some], pa.binary())], ["block", "bucket", "words"])
 
@@ -122,8 +137,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
 
     def reassemble(table: pa.Table, told: dict[int, bytes]) -> pa.Table:
         texts = table.column("text").to_pylist()
+        runs = _cut_runs(texts, pattern)
         ids_of: dict[str, list[int]] = {}
-        for k, words in enumerate(_by_bucket(texts, n_buckets, pattern)):
+        for k, words in enumerate(_by_bucket(chain.from_iterable(runs.values()), n_buckets)):
             if words:
                 n = int.from_bytes(told[k][:4], "little")
                 numbers = blocks.unpack_numbers(told[k][4:], np.uint32).tolist()
@@ -131,18 +147,17 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
                 for word, count in zip(words, numbers[:n], strict=True):
                     ids_of[word] = numbers[at : at + count]
                     at += count
-        find, get = _pattern(pattern).findall, ids_of.__getitem__
+        ids_in = {run: [k for word in words for k in ids_of[word]] for run, words in runs.items()}
+        found = [_RUNS(t) if t else [] for t in texts]
         if not digests:
-            made = [list(chain.from_iterable(map(get, find(t)))) if t else [] for t in texts]
+            made = [list(chain.from_iterable(map(ids_in.__getitem__, x))) for x in found]
             return pa.table([table.column(id_col), pa.array(made, pa.list_(pa.int32()))], [id_col, "ids"])
-        printed = {w: " ".join(map(str, ids)) for w, ids in ids_of.items()}.__getitem__
-        n_tokens, hashes, decoded = [], [], []
-        for t in texts:
-            words = find(t) if t else []
-            ids = list(chain.from_iterable(map(get, words)))
-            n_tokens.append(len(ids))
-            hashes.append(hashlib.sha256(" ".join(map(printed, words)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(decode(ids, path)).hexdigest())
+        count = {run: len(ids) for run, ids in ids_in.items()}.__getitem__
+        printed = {run: " ".join(map(str, ids)) for run, ids in ids_in.items()}.__getitem__
+        raw = {run: decode(ids, path) for run, ids in ids_in.items()}.__getitem__
+        n_tokens = [sum(map(count, x)) for x in found]
+        hashes = [hashlib.sha256(" ".join(map(printed, x)).encode()).hexdigest() for x in found]
+        decoded = [hashlib.sha256(b"".join(map(raw, x))).hexdigest() for x in found]
         return pa.table([table.column(id_col), pa.array(n_tokens, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     pieces = blocks.each_block(packed, send, "block long, bucket int, words binary")
