@@ -110,6 +110,15 @@ def _data_bytes(batch: pa.RecordBatch, at: int, take: int) -> int:
     return int(_row_ends(batch, at)[take - 1])
 
 
+def slices(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes; a longer row is a part of its own."""
+    at = 0
+    while at < batch.num_rows:
+        take = _rows_within(batch, at, most, False)
+        yield batch.slice(at, take)
+        at += take
+
+
 def unpack_rows(data: bytes) -> pa.Table:
     with pa.ipc.open_stream(expand(data)) as stream:
         return stream.read_all()

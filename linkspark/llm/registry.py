@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import bpe, mixing, ogg, secrets, substring_dedup, url_filter, warc
+from linkspark.llm import bpe, minhash, mixing, ogg, secrets, substring_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": bpe.op6_bpe,
         "op8_secrets": secrets.op8_secrets,
         "op9_ogg": ogg.op9_ogg,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
