@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import blocks
 from linkspark.llm.components import components, matrix_groups, tree_edges
+from linkspark.llm.grouping import cut_groups, decided_here, name_components
 from linkspark.llm.hashing import mix, window_hashes, word_hashes, word_spans
 from linkspark.llm.storage import materialize
 
@@ -159,19 +160,6 @@ def meetings(classes: DataFrame) -> DataFrame:
     return blocks.with_answers(packed, answers, meet, "at long, class long, n long, sketch binary")
 
 
-def _cut(rows: DataFrame, key: str, weight: str, most: int) -> DataFrame:
-    """``rows`` dealt to (key, lo, hi, chunk): each two of a key's chunks meet in one group of bounded weight.
-
-    Keys with one row go. The sums of weights are a written table, so the join splits a key with many rows.
-    """
-    sums = rows.groupBy(key).agg(F.count("*").alias("_rows"), F.sum(F.expr(weight)).alias("_sum")).filter("_rows > 1")
-    sums = materialize(sums.select(key, F.ceil(F.col("_sum") / most).cast("int").alias("chunks")), "groups")
-    cut = rows.join(sums, key).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-    return cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        *rows.columns, "chunk", F.least("chunk", "_other").alias("lo"), F.greatest("chunk", "_other").alias("hi")
-    )
-
-
 def _common(sets: list[np.ndarray], n_rows: int) -> np.ndarray:
     """How many values each two of the sets share."""
     values = np.concatenate(sets)
@@ -207,12 +195,6 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (twice & (rank <= K)).sum(axis=1)
 
 
-def _apart(table: pa.Table) -> np.ndarray:
-    """Which pairs this group decides: those between its two chunks, or all of one chunk."""
-    chunk = np.asarray(table.column("chunk"))
-    return np.ones((len(chunk), len(chunk)), bool) if table.column("lo")[0].as_py() == table.column("hi")[0].as_py() else chunk[:, None] != chunk[None, :]
-
-
 def _edge_table(linked: np.ndarray, ids: np.ndarray) -> pa.Table:
     np.fill_diagonal(linked, False)
     some = linked.any(axis=1)
@@ -227,7 +209,7 @@ def _estimated(table: pa.Table) -> pa.Table:
     common = _common(sets, len(ids))
     small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
     full = large <= K
-    linked = _apart(table) & (100 * small >= PERCENT * large) & np.where(full, similar(common, n), common >= OVERLAP)
+    linked = decided_here(table) & (100 * small >= PERCENT * large) & np.where(full, similar(common, n), common >= OVERLAP)
     i, j = np.nonzero(np.triu(linked & ~full, 1))
     filled = np.full((len(ids), K), np.iinfo(np.uint64).max, np.uint64)
     for k, s in enumerate(sets):
@@ -243,7 +225,7 @@ def _confirmed(table: pa.Table) -> pa.Table:
     """Edges that stand for the pairs of full sets with enough in common."""
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    return _edge_table(similar(_common(sets, len(sets)), n) & _apart(table), np.asarray(table.column("class")))
+    return _edge_table(similar(_common(sets, len(sets)), n) & decided_here(table), np.asarray(table.column("class")))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -273,17 +255,14 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     one_each = sketched.filter("class is not null").select("class", "n", "sketch").dropDuplicates(["class"]).sortWithinPartitions("class")
     met = materialize(meetings(one_each), "meetings")
     by = ["at", "lo", "hi"]
-    passed = _cut(met, "at", "1", CHUNK).groupBy(*by).applyInArrow(_estimated, "a long, b long")
+    passed = cut_groups(met, ["at"], "class", "1", CHUNK).groupBy(*by).applyInArrow(_estimated, "a long, b long")
     families = components(passed).select(F.col("node").alias("class"), F.col("label").alias("family"))
     first = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialize(first.join(families, "class").filter("doc_id is not null"), "wanted")
     sets = materialize(_full_sets(docs, wanted, words), "full-sets")
-    links = _cut(sets, "family", "n", CHUNK_SHINGLES).groupBy("family", "lo", "hi").applyInArrow(_confirmed, "a long, b long")
-    joined = components(links).select(F.col("node").alias("class"), "label")
-    labelled = materialize(members.join(joined, "class", "left").select("doc_id", "n", F.coalesce("label", "class").alias("label")), "labelled")
-    least = materialize(labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
-    found = labelled.join(least, "label", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    links = cut_groups(sets, ["family"], "class", "n", CHUNK_SHINGLES).groupBy("family", "lo", "hi").applyInArrow(_confirmed, "a long, b long")
+    joined = components(links)
+    return name_components(members, joined, "doc_id", "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
