@@ -1,14 +1,15 @@
 """Near-duplicates by bottom-k sketches of word shingles.
 
 One hash function orders the shingles, and the k least of a set are its sketch. Sets that are equal form a class.
-Each retained value has an inverted list; classes meet where they hold a value among their rarest, which is enough
-because linked sketches overlap widely. Lists are joined under one class that stands for the value, so classes that
-share many values meet once. Where they meet, the union sketch estimates similarity, and families of what passes are
-compared exactly on their full sets.
-
-A linked pair is missed only if its sketches share less than OVERLAP of K values, or the union sketch less than half:
-with Jaccard similarity 0.8 and K = 64 each has probability under 1e-6. Sets of up to K shingles are their sketches
-and are never missed.
+Inverted lists lead from retained values to the classes that hold them. A list is keyed by RUN consecutive values of a
+sketch rather than by one, since single shingles of two words are in ever more texts as the corpus grows; linked
+sketches have such runs in common nearly always. Each list is joined under one class that stands for it, so classes
+that share many lists meet once. Where they meet, the union sketch estimates similarity, and families of what passes
+are compared exactly on their full sets.
+
+Of a union of sketches with Jaccard similarity 0.8, K = 48 values in a row hold no three shared ones in turn with
+probability 0.695**48 = 3e-8, 5e-7 for sets of SMALL = 40. The union sketch of a linked pair is under ESTIMATE with
+probability 1e-6. Sets under SMALL get lists that no linked pair misses, and where the union fits a sketch it is exact.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ from linkspark.llm.grouping import cut_groups, decided_here, name_components
 from linkspark.llm.hashing import mix, window_hashes, word_hashes, word_spans
 from linkspark.llm.storage import materialize
 
-K = 64
-#: Values that the sketches of linked sets share at least, of K.
-OVERLAP = 30
+K = 48
+RUN = 3
+#: Sets of fewer shingles are their own sketches, and any two shingles of a prefix that linked sets share key a list.
+SMALL = 40
+#: Values of the K least of a union that are shared, at least.
+ESTIMATE = 23
 #: Members compared at once, and shingles compared at once; larger groups are cut and the cuts compared pairwise.
 CHUNK = 512
 CHUNK_SHINGLES = 128 << 10
@@ -77,87 +81,90 @@ def sketch_documents(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, n long, sketch binary")
 
 
-class _Sketches:
-    """The retained values of a block of classes, ordered by bucket and value."""
+def list_keys(sketch: np.ndarray, n: int) -> np.ndarray:
+    """The distinct keys of the lists that a set of n shingles is in."""
+    keys = []
+    if n < SMALL:
+        least = -(-n * PERCENT // 100)  # shared at least, so two of the first n - least + 2
+        i, j = np.triu_indices(min(n, n - least + 2) if n > 3 else 0, 1)
+        keys.append(mix(sketch[i] * np.uint64(3) + sketch[j]))
+    if 100 * n >= PERCENT * SMALL:
+        keys.append(window_hashes(sketch, RUN))
+    return np.unique(np.concatenate(keys))
+
+
+class _Lists:
+    """The list keys of a block of classes, ordered by bucket and key."""
 
     def __init__(self, table: pa.Table, n_buckets: int) -> None:
-        self.ids = np.asarray(table.column("class"))
-        self.n = np.asarray(table.column("n"))
-        held = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("sketch")]
-        self.sizes = np.fromiter(map(len, held), np.int64, len(held))
-        values = np.concatenate(held)
-        owner = np.repeat(np.arange(len(held)), self.sizes)
-        bucket = (values & np.uint64(n_buckets - 1)).astype(np.int64)
-        order = np.lexsort((mix(self.ids.view(np.uint64))[owner], values, bucket))
-        self.values, self.owner, bucket = values[order], owner[order], bucket[order]
-        fresh = np.concatenate([[True], self.values[1:] != self.values[:-1]])
-        self.first = np.flatnonzero(fresh)  # of each distinct value, the holder that comes first by mixed id
+        held = [list_keys(np.frombuffer(x.as_py(), np.uint64), n) for x, n in zip(table.column("sketch"), table.column("n").to_pylist(), strict=True)]
+        keys = np.concatenate(held)
+        owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+        bucket = (keys & np.uint64(n_buckets - 1)).astype(np.int64)
+        order = np.lexsort((keys, bucket))  # stable, so that the first owner of a key comes first
+        self.keys, self.owner, bucket = keys[order], owner[order], bucket[order]
+        fresh = np.concatenate([[True], self.keys[1:] != self.keys[:-1]]) if len(keys) else np.empty(0, bool)
+        self.first = np.flatnonzero(fresh)
         self.which = np.cumsum(fresh) - 1
-        self.counts = np.diff(np.append(self.first, len(self.values)))
+        self.counts = np.diff(np.append(self.first, len(self.keys)))
         self.edges = np.searchsorted(bucket[self.first], np.arange(n_buckets + 1)).tolist()
 
 
-def _count_values(table: pa.Table) -> pa.Table:
-    """One bucket: how many classes hold each value, and the class that stands for it if several do."""
-    values = [blocks.unpack_sorted(x.as_py()) for x in table.column("values")]
+def _join_lists(table: pa.Table) -> pa.Table:
+    """One bucket: for each key of a block, whether other classes have it, and the block and place of the first one."""
+    keys = [blocks.unpack_sorted(x.as_py()) for x in table.column("keys")]
     counts = [blocks.unpack_numbers(x.as_py(), np.uint32) for x in table.column("counts")]
-    firsts = [blocks.unpack_numbers(x.as_py(), np.int64) for x in table.column("firsts")]
-    sizes = [len(x) for x in values]
-    v, c, f = np.concatenate(values), np.concatenate(counts), np.concatenate(firsts)
-    order = np.lexsort((mix(f.view(np.uint64)), v))
+    firsts = [blocks.unpack_numbers(x.as_py(), np.uint32) for x in table.column("firsts")]
+    sizes = [len(x) for x in keys]
+    v, c, f = np.concatenate(keys), np.concatenate(counts), np.concatenate(firsts)
+    block = np.repeat(np.asarray(table.column("block")), sizes)
+    order = np.lexsort((block, v))
     fresh = np.concatenate([[True], v[order][1:] != v[order][:-1]])
     group = np.empty(len(v), np.int64)
     group[order] = np.cumsum(fresh) - 1
-    total = np.minimum(np.bincount(group, weights=c).astype(np.int64), 0xFFFFFFFF).astype(np.uint32)[group]
-    stands = f[order][fresh][group]
-    cut = np.cumsum(sizes)[:-1]
-    answers = [blocks.pack_numbers(t) for t in np.split(total, cut)]
-    reps = [blocks.pack_numbers(s[t > 1]) for s, t in zip(np.split(stands, cut), np.split(total, cut), strict=True)]
-    joined = [len(a).to_bytes(4, "little") + a + r for a, r in zip(answers, reps, strict=True)]
-    return pa.table([table.column("block"), table.column("bucket"), pa.array(joined, pa.binary())], ["block", "bucket", "answer"])
-
-
-def least_overlap(n: np.ndarray) -> np.ndarray:
-    """Values that a linked set shares at least with the sketch of a set of size n: exact while partners fit a sketch."""
-    return np.where(n * 100 < PERCENT * K, -(-n * PERCENT // 100), OVERLAP)
+    shared = (np.bincount(group, weights=c) > 1)[group]
+    head = order[fresh]
+    out = []
+    for at, size in zip(np.cumsum([0, *sizes[:-1]]).tolist(), sizes, strict=True):
+        here = slice(at, at + size)
+        to = head[group[here][shared[here]]]
+        bits = blocks.squeeze(np.packbits(shared[here]).tobytes())
+        out.append(len(bits).to_bytes(4, "little") + bits + blocks.pack_numbers(np.concatenate([block[to], f[to].astype(np.int64)])))
+    return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "answer"])
 
 
 def meetings(classes: DataFrame) -> DataFrame:
-    """(at, class, n, sketch): where classes meet, once for each class that stands for one of their rarest values."""
+    """(at_block, at, class, n, sketch): where classes meet, once for each class that stands for one of their lists."""
     packed = blocks.pack_rows(classes)
     n_buckets = blocks.buckets(classes)
 
     def send(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        s = _Sketches(table, n_buckets)
-        values, firsts = s.values[s.first], s.ids[s.owner[s.first]]
+        s = _Lists(table, n_buckets)
+        keys, firsts = s.keys[s.first], s.owner[s.first]
         some = [k for k in range(n_buckets) if s.edges[k] < s.edges[k + 1]]
         cut = [slice(s.edges[k], s.edges[k + 1]) for k in some]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([blocks.pack_sorted(values[x]) for x in cut], pa.binary()), pa.array([blocks.pack_numbers(s.counts[x].astype(np.uint32)) for x in cut], pa.binary()), pa.array([blocks.pack_numbers(firsts[x]) for x in cut], pa.binary())],
-            ["block", "bucket", "values", "counts", "firsts"],
+            [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([blocks.pack_sorted(keys[x]) for x in cut], pa.binary()), pa.array([blocks.pack_numbers(s.counts[x].astype(np.uint32)) for x in cut], pa.binary()), pa.array([blocks.pack_numbers(firsts[x]) for x in cut], pa.binary())],
+            ["block", "bucket", "keys", "counts", "firsts"],
         )
 
     def meet(table: pa.Table, told: dict[int, bytes]) -> pa.Table:
-        s = _Sketches(table, n_buckets)
-        held = np.ones(len(s.first), np.uint32)
-        stands = np.zeros(len(s.first), np.int64)
+        s = _Lists(table, n_buckets)
+        shared = np.zeros(len(s.first), bool)
+        at = np.zeros((2, len(s.first)), np.int64)
         for k, blob in told.items():
             size = int.from_bytes(blob[:4], "little")
             cut = slice(s.edges[k], s.edges[k + 1])
-            held[cut] = blocks.unpack_numbers(blob[4 : 4 + size], np.uint32)
-            stands[cut][held[cut] > 1] = blocks.unpack_numbers(blob[4 + size :], np.int64)
-        held, stands = held[s.which], stands[s.which]
-        order = np.lexsort((s.values, held, s.owner))
-        owner = s.owner[order]
-        rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(s.ids)))[owner]
-        use = order[(rank < (s.sizes - least_overlap(s.n) + 1)[owner]) & (held[order] > 1)]
-        pairs = np.unique(np.stack([s.owner[use], stands[use]]), axis=1) if len(use) else np.empty((2, 0), np.int64)
-        kept = table.take(pa.array(pairs[0]))
-        return pa.table([pa.array(pairs[1], pa.int64()), kept.column("class"), kept.column("n"), kept.column("sketch")], ["at", "class", "n", "sketch"])
-
-    pieces = blocks.each_block(packed, send, "block long, bucket int, values binary, counts binary, firsts binary")
-    answers = pieces.groupBy("bucket").applyInArrow(_count_values, "block long, bucket int, answer binary")
-    return blocks.with_answers(packed, answers, meet, "at long, class long, n long, sketch binary")
+            shared[cut] = np.unpackbits(np.frombuffer(blocks.expand(blob[4 : 4 + size]), np.uint8), count=cut.stop - cut.start)
+            at[:, cut][:, shared[cut]] = blocks.unpack_numbers(blob[4 + size :], np.int64).reshape(2, -1)
+        use = shared[s.which]
+        rows = np.unique(np.concatenate([at[:, s.which[use]], s.owner[use][None, :].astype(np.int64)]), axis=1)
+        kept = table.take(pa.array(rows[2]))
+        return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), kept.column("class"), kept.column("n"), kept.column("sketch")], ["at_block", "at", "class", "n", "sketch"])
+
+    pieces = blocks.each_block(packed, send, "block long, bucket int, keys binary, counts binary, firsts binary")
+    answers = pieces.groupBy("bucket").applyInArrow(_join_lists, "block long, bucket int, answer binary")
+    return blocks.with_answers(packed, answers, meet, "at_block long, at long, class long, n long, sketch binary")
 
 
 def _common(sets: list[np.ndarray], n_rows: int) -> np.ndarray:
@@ -209,14 +216,14 @@ def _estimated(table: pa.Table) -> pa.Table:
     common = _common(sets, len(ids))
     small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
     full = large <= K
-    linked = decided_here(table) & (100 * small >= PERCENT * large) & np.where(full, similar(common, n), common >= OVERLAP)
+    linked = decided_here(table) & (100 * small >= PERCENT * large) & np.where(full, similar(common, n), common >= ESTIMATE)
     i, j = np.nonzero(np.triu(linked & ~full, 1))
     filled = np.full((len(ids), K), np.iinfo(np.uint64).max, np.uint64)
     for k, s in enumerate(sets):
         filled[k, : len(s)] = s
     for at in range(0, len(i), 8192):
         x, y = i[at : at + 8192], j[at : at + 8192]
-        bad = 2 * union_estimate(filled[x], filled[y]) < K
+        bad = union_estimate(filled[x], filled[y]) < ESTIMATE
         linked[x[bad], y[bad]] = linked[y[bad], x[bad]] = False
     return _edge_table(linked, ids)
 
@@ -254,8 +261,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     members = sketched.select("doc_id", "class", "n")
     one_each = sketched.filter("class is not null").select("class", "n", "sketch").dropDuplicates(["class"]).sortWithinPartitions("class")
     met = materialize(meetings(one_each), "meetings")
-    by = ["at", "lo", "hi"]
-    passed = cut_groups(met, ["at"], "class", "1", CHUNK).groupBy(*by).applyInArrow(_estimated, "a long, b long")
+    by = ["at_block", "at"]
+    passed = cut_groups(met, by, "class", "1", CHUNK).groupBy(*by, "lo", "hi").applyInArrow(_estimated, "a long, b long")
     families = components(passed).select(F.col("node").alias("class"), F.col("label").alias("family"))
     first = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialize(first.join(families, "class").filter("doc_id is not null"), "wanted")
