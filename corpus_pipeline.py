@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from linkspark.llm import mixing, secrets
+from linkspark.llm import bpe, language, minhash, mixing, secrets
 from linkspark.llm.storage import materialize
 
 #: Near copies and language can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language; those without a letter go."""
+    return language.keep_identified(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies on five-word shingles: the one with the least id."""
+    return minhash.keep_one_of_each(docs, words=5)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks what the secret scan finds; n_chars follows the text. Rows stay."""
     return secrets.redact_documents(docs)
@@ -22,13 +31,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of every row."""
+    return bpe.encode_documents(docs)
+
+
 STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_copies),
     ("secret scans", redact_secrets),
     ("mixing sources", mix_sources),
+    ("byte-level BPE", encode_tokens),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

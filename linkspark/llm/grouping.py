@@ -31,13 +31,17 @@ def decided_here(table: pa.Table) -> np.ndarray:
 
 
 def name_components(members: DataFrame, joined: DataFrame, id_col: str, class_col: str) -> DataFrame:
-    """``members`` with (component_id, kept): the least id of the component, and whether the row has it.
+    """``members`` with (component_id, kept, stays): the least id of the component, whether the row has it, and
+    whether the row also is of that id's least class.
 
     ``joined`` (node, label) labels classes; a class without a label is a component, and so is a row without a class.
     Rows without an id take the least id of their component, and are kept only if there is none.
     """
     labels = joined.select(F.col("node").alias(class_col), "label")
     labelled = materialize(members.join(labels, class_col, "left").withColumn("label", F.coalesce("label", class_col)), "labelled")
-    least = materialize(labelled.filter("label is not null").groupBy("label").agg(F.min(id_col).alias("_least")), "least")
-    named = labelled.join(least, "label", "left").withColumn("component_id", F.coalesce("_least", id_col))
-    return named.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))).drop("label", "_least")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(class_col).alias("class")))
+    least = materialize(labelled.filter("label is not null").groupBy("label").agg(first.alias("_least")), "least")
+    named = labelled.join(least, "label", "left").withColumn("component_id", F.coalesce("_least.id", id_col))
+    kept = F.col(id_col).eqNullSafe(F.col("component_id"))
+    stays = F.col("_least").isNull() | (kept & (F.col(class_col) == F.col("_least.class")))
+    return named.withColumn("kept", kept).withColumn("stays", stays).drop("label", "_least")

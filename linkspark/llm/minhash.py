@@ -26,7 +26,7 @@ from linkspark.llm import blocks
 from linkspark.llm.components import components, matrix_groups, tree_edges
 from linkspark.llm.grouping import cut_groups, decided_here, name_components
 from linkspark.llm.hashing import mix, window_hashes, word_hashes, word_spans
-from linkspark.llm.storage import materialize
+from linkspark.llm.storage import materialize, spare
 
 K = 48
 RUN = 3
@@ -237,6 +237,7 @@ def _confirmed(table: pa.Table) -> pa.Table:
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(class, family, shingles): the full set of one document of each wanted (doc_id, class, family)."""
+    # The wanted rows are a share of the corpus: the join is dealt by id at any size, small corpora included.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("class", "family", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +251,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text).
+    """(doc_id, class, n_shingles, component_id, kept, stays) of every row of (doc_id, text).
 
     Shingles are runs of ``words`` words, A to Z lower-cased; links are Jaccard similarities of 0.8 or more, and a
     component is what links reach. Its id is the least doc_id, whose row is kept. Rows without words, null texts
     among them, are components of their own. Rows without an id never name a component that has one, and are kept
-    only where they are alone; rows that share an id are kept or not together. An empty table gives no rows.
+    only where none has; rows that share an id are kept together. ``stays`` is true for the rows of one id and class
+    in each component only. An empty table gives no rows.
     """
     sketched = materialize(sketch_documents(docs, words), "sketches")
     members = sketched.select("doc_id", "class", "n")
@@ -269,8 +271,30 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     sets = materialize(_full_sets(docs, wanted, words), "full-sets")
     links = cut_groups(sets, ["family"], "class", "n", CHUNK_SHINGLES).groupBy("family", "lo", "hi").applyInArrow(_confirmed, "a long, b long")
     joined = components(links)
-    return name_components(members, joined, "doc_id", "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+    return name_components(members, joined, "doc_id", "class").withColumnRenamed("n", "n_shingles")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: its least id, and of rows that agree in id and words any one.
+
+    Texts are dealt by id and class for the join; repeated rows then meet in one task.
+    """
+    judged = materialize(near_duplicates(docs, words).filter("stays").select("doc_id", "class").distinct(), "stays")
+    names, own, key = docs.columns, spare(docs, "_class"), spare(docs, "_key")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in _set_rows(batch, at, words):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], [*names, own])
+
+    # One key for the join and the repeats, so that texts are dealt once.
+    classed = docs.mapInArrow(run, f"{types}, `{own}` long").withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(own)))
+    known = judged.select(F.xxhash64("doc_id", "class").alias(key))
+    return classed.join(known.hint("merge"), key, "left_semi").dropDuplicates([key, "doc_id", own]).select(*names)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

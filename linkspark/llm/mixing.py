@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.storage import materialize
+from linkspark.llm.storage import materialize, spare
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -73,11 +73,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: float = M
     The rate of a source joins its rows by source name (a third of all rows may share it: the small side has one row
     per source and the join splits or broadcasts it). An empty table gives an empty one.
     """
+    name, rate, copy = (spare(docs, x) for x in ("_mix_source", "_mix_rate", "_mix_copy"))
     rates = source_targets(sizes_of(docs), weights, max_repeat)
-    rates = rates.select(F.col("source").alias("_mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_mix_rate"))
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col("_mix_source")))
-    copies = F.floor("_mix_rate").cast("int") + (draw(F.col("doc_id"), seed) < F.col("_mix_rate") - F.floor("_mix_rate")).cast("int")
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    rates = rates.select(F.col("source").alias(name), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
+    rates = materialize(rates, "rates")  # its size is then known before the join is planned
+    joined = docs.join(rates, docs["source"].eqNullSafe(F.col(name)))
+    copies = F.floor(rate).cast("int") + (draw(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate)).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

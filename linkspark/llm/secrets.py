@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.storage import materialize
+from linkspark.llm.storage import materialize, spare
 
 
 def _either(word: str) -> str:
@@ -107,12 +107,14 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def redact_documents(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets masked in text and n_chars brought up to date; a text without secrets stays as it is."""
+    blob, spans, masked = (spare(docs, x) for x in ("_blob", "_spans", "_masked"))
     _, _, findings = scan_versions(docs)
-    found = findings.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_blob", blob_of(F.col("text"))).join(found, "_blob", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans"), mask))
-    chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    new = {"text": text.alias("text"), "n_chars": chars.alias("n_chars")}
+    found = findings.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    clean = F.col(spans).isNull()
+    joined = docs.withColumn(blob, blob_of(F.col("text"))).join(found, blob, "left")
+    # In two steps: within one select, names in a lambda would mean the new columns.
+    joined = joined.withColumn(masked, F.when(clean, F.col("text")).otherwise(redact(F.col("text"), F.col(spans), mask)))
+    new = {"text": F.col(masked).alias("text"), "n_chars": F.when(clean, F.col("n_chars")).otherwise(F.length(masked).cast("long")).alias("n_chars")}
     return joined.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 

@@ -47,3 +47,11 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 def partitions(spark: SparkSession) -> int:
     """The shuffle width that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,0 +1,364 @@
+"""Operators on documents, held against plain Python."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+from linkspark.llm import bpe, language, minhash, mixing, ogg, secrets, substring_dedup
+from tests.llm.samples import SCHEMA, documents
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    spark.createDataFrame(documents(), SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def none(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("none") / "documents.parquet")
+    spark.createDataFrame([], SCHEMA).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def by_id(rows, key="doc_id"):
+    out = defaultdict(list)
+    for r in rows:
+        out[r[key]].append(r)
+    return out
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+# ---- mixing
+
+
+def test_mix_targets_and_copies(docs):
+    rows = mixing.plan_mix(mixing.sizes_of(docs)).collect()
+    sizes = Counter()
+    for _, text, _, source, _ in documents():
+        sizes[source] += len(words(text))
+    order = sorted(x for x in sizes if x is not None) + [None]
+    caps = {s: 3.0 * sizes[s] for s in order}
+    left, target, open_ = float(sum(sizes.values())), {}, {s: k % 3 + 1 for k, s in enumerate(order)}
+    while open_:
+        level = left / sum(open_.values())
+        full = [s for s, w in open_.items() if w * level > caps[s]]
+        if not full:
+            target |= {s: w * level for s, w in open_.items()}
+            break
+        for s in full:
+            target[s] = caps[s]
+            left -= caps[s]
+            del open_[s]
+    assert len(rows) == len(documents())
+    for r in rows:
+        assert r.target == pytest.approx(target[r.source])
+        assert r.source_size == sizes[r.source]
+        rate = target[r.source] / sizes[r.source] if sizes[r.source] else 0
+        assert r.taken in {r["size"] * int(rate), r["size"] * (int(rate) + 1)}
+        assert r.taken <= 3 * r["size"]
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.plan_mix(mixing.sizes_of(docs)).collect()))
+
+
+def test_mix_emits_copies(docs, none):
+    plan = Counter()
+    for r in mixing.plan_mix(mixing.sizes_of(docs)).collect():
+        plan[r.doc_id] += r.copies
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert Counter(r.doc_id for r in mixed.collect()) == +plan
+    assert mixing.mix(none).count() == 0
+    assert mixing.plan_mix(mixing.sizes_of(none)).count() == 0
+
+
+def test_mix_of_nothing(spark):
+    sizes = spark.createDataFrame([(1, "a", 0), (2, None, 0)], "doc_id long, source string, size long")
+    assert [(r.target, r.taken) for r in mixing.plan_mix(sizes).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+# ---- substrings
+
+
+def brute_removed(rows, length):
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    seen, out = set(), {}
+    for k in order:
+        w = words(rows[k][1])
+        gone = [False] * len(w)
+        fresh = []
+        for i in range(len(w) - length + 1):
+            key = tuple(w[i : i + length])
+            if key in seen:
+                gone[i : i + length] = [True] * length
+            else:
+                fresh.append(key)
+                seen.add(key)
+        out[k] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("length", [1, 5, 20])
+def test_substrings(docs, none, length):
+    rows = documents()
+    unique = [r for r in rows if r[0] not in (12, None)]
+    table = docs.filter("doc_id is not null and doc_id <> 12")
+    path = table.sparkSession.conf.get("spark.sql.warehouse.dir")
+    assert path
+    got = by_id(substring_dedup.removed_words(table, length, texts=True).collect())
+    want = brute_removed(unique, length)
+    for k, r in enumerate(unique):
+        (g,) = got[r[0]]
+        assert (g.n_words, g.n_removed, g.kept_sha256) == want[k]
+        assert sum(x.end - x.start for x in g.intervals) == g.n_removed
+        assert hashlib.sha256(g.kept.encode()).hexdigest() == g.kept_sha256
+        assert all(a.end < b.start for a, b in zip(g.intervals, g.intervals[1:], strict=False))
+    assert substring_dedup.removed_words(none, length).count() == 0
+
+
+def test_substrings_of_repeated_ids(docs):
+    got = by_id(substring_dedup.removed_words(docs).collect())
+    assert sorted(r.n_removed for r in got[12]) == [0, 20]
+    assert all(r.n_words >= r.n_removed for rows in got.values() for r in rows)
+
+
+# ---- byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def reference():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(docs, none, reference):
+    want = Counter((i, tuple(reference.encode_ordinary(t or ""))) for i, t, *_ in documents())
+    encoded = bpe.encode_documents(docs)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in encoded.collect()) == want
+    assert Counter((r.doc_id, bytes(r.text).decode()) for r in bpe.decode_documents(encoded).collect()) == Counter((i, t or "") for i, t, *_ in documents())
+    for r in bpe.encode_documents(docs, digests=True).collect():
+        assert any(r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(reference.decode_bytes(list(ids))).hexdigest() for i, ids in want if i == r.doc_id)
+    assert bpe.encode_documents(none).count() == 0
+
+
+def test_pre_tokens_agree_with_the_pattern():
+    import regex
+
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    for c in [*range(0x20), *range(0x7F, 0x100), 0x660, 0xB2, 0x2167, 0x2003, 0x2028, 0x3000, 0xFEFF, 0x1F600, 0x10FFFF]:
+        for text in (f"a{chr(c)}b", f" {chr(c)}{chr(c)} 1's", f"x\n{chr(c)}\n y", f"{chr(c)}"):
+            assert bpe.pre_tokens(text, public_tokenizers.PATTERN) == pattern.findall(text)
+
+
+# ---- language
+
+
+def test_language_without_letters(docs, none):
+    profiles = language.learn(docs)
+    assert set(profiles.languages) == {"en", "de", "fr"}
+    got = by_id(language.identify(docs, profiles).collect())
+    for i, text, *_ in documents():
+        for r in got[i]:
+            assert 0 <= r.score <= 1
+            if not any(c.isalpha() for c in text or ""):
+                assert r.lang_pred == "und" and r.score == 0
+    assert got[6][0].lang_pred == got[7][0].lang_pred == got[-5][0].lang_pred == "und"
+    assert language.identify(none, language.learn(none)).count() == 0
+    assert {r.lang_pred for r in language.identify(docs, language.learn(none)).collect()} == {"und"}
+
+
+def test_profiles_are_counts():
+    codes, counts = language.ngrams(["Ab,a", "b"], [2, 3])
+    assert counts.sum() == sum(n * (len(w) + len(w) + 1 + len(w)) for w, n in (("ab", 2), ("a", 2), ("b", 3)))
+    assert len(set(codes.tolist())) == len(codes)
+    again = language.ngrams(["b", "aB", "a"], [3, 2, 2])
+    assert codes.tolist() == again[0].tolist() and counts.tolist() == again[1].tolist()
+
+
+def test_rank_distance_by_hand():
+    profiles = language.Profiles({"xx": language.most_frequent(*language.ngrams(["aa", "ab"], [5, 1]), 300).tolist(), "yy": language.most_frequent(*language.ngrams(["zz"], [1]), 300).tolist()})
+    assert profiles.judge("aa aa ab")[0] == "xx"
+    assert profiles.judge("zz")[0] == "yy"
+    top = language.most_frequent(*language.ngrams(["zz"], [1]), 300)
+    assert profiles.judge("zz") == ("yy", 1.0) and len(top) == len(profiles.codes[[c in set(top.tolist()) for c in profiles.codes.tolist()]])
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in language.op7_language(spark, d).collect() if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
+    assert sum(truth[r.doc_id] == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+# ---- secrets
+
+
+def brute_spans(text):
+    kinds = [
+        (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
+        (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+        (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+    ]
+    found = [(m.start(), k, m.end()) for k, (p, ok) in enumerate(kinds) for m in p.finditer(text or "") if ok(m)]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def test_secrets(docs, none):
+    paths, ledger, findings = secrets.scan_versions(docs)
+    got = by_id(paths.select("doc_id", secrets.digest(paths.spans).alias("s")).collect())
+    for i, text, *_ in documents():
+        assert brute_spans(text) in {r.s for r in got[i]}
+    assert sum(map(len, got.values())) == len(documents())
+    assert ledger.count() == len({t or "" for _, t, *_ in documents()})
+    assert secrets.scan_versions(none)[0].count() == 0
+
+
+def test_ledger_skips_what_was_scanned(docs, spark):
+    _, ledger, findings = secrets.scan_versions(docs)
+    more = docs.limit(0).unionByName(spark.createDataFrame([(99, "token=abcdefgh1", None, None, 15)] + documents(), SCHEMA))
+    paths, again, found = secrets.scan_versions(more, ledger, findings)
+    assert again.count() == ledger.count() + 1
+    assert found.count() == findings.count() + 1
+    got = by_id(paths.select("doc_id", secrets.digest(paths.spans).alias("s")).collect())
+    assert got[99][0].s == "assign:0:15" and got[16][0].s == brute_spans(documents()[18][1])
+
+
+def test_redaction(docs):
+    out = by_id(secrets.redact_documents(docs).collect())
+    assert secrets.redact_documents(docs).columns == docs.columns
+    for i, text, *_ in documents():
+        for r in out[i]:
+            if not brute_spans(text):
+                assert r.text in {t for j, t, *_ in documents() if j == i}
+    assert out[15][0].text == '[SECRET]" [SECRET] [SECRET]'
+    assert out[15][0].n_chars == len(out[15][0].text)
+
+
+# ---- Ogg
+
+
+def test_ogg_round_trip(docs, none):
+    got = by_id(ogg.read_media(ogg.encode_media(docs)).collect())
+    for i, text, *_ in documents():
+        data = (text or "").encode()
+        payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        r = next(r for r in got[i] if r.n_bytes == len(data) and r.payload_sha256 == hashlib.sha256(payload).hexdigest())
+        assert (r.payload_bytes, r.tail_crc32) == (len(payload), zlib.crc32(payload[-64:]))
+    assert ogg.read_media(ogg.encode_media(none)).count() == 0
+
+
+def slow_crc(data):
+    crc = 0
+    for b in data:
+        crc ^= b << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 1 << 31 else crc << 1) & 0xFFFFFFFF
+    return crc
+
+
+def test_ogg_checksum():
+    for data in (b"", b"\0", b"OggS", bytes(range(256))):
+        assert ogg.checksum(data) == slow_crc(data)
+
+
+@pytest.mark.parametrize("size", [64, 255 * 255, 255 * 256, 4096 * 3, 200_000])
+def test_ogg_packets(size):
+    payload = bytes(k * 7 % 251 for k in range(size))
+    assert ogg.read_payload(ogg.write_stream(payload))[0] == payload
+    packets = [(payload[:255], 255), (b"", 255), (payload, 255 + size), (payload[:1], 256 + size)]
+    pages = list(ogg.pages_of(7, packets, 0, True))
+    first = ogg.page(7, 0, 0, ogg.FIRST, b"\1", b"x")
+    stream = ogg.read_stream(first + b"".join(ogg.pages_of(7, packets, 1, True)))[7]
+    assert stream.packets == [b"x", *[p for p, _ in packets]] and stream.granules[-1] == 256 + size
+    assert len(pages) >= size // (255 * 255)
+
+
+def test_ogg_damage():
+    data = bytearray(ogg.write_stream(bytes(64)))
+    for at in (0, 30, len(data) - 1):
+        bad = bytearray(data)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            ogg.read_payload(bytes(bad))
+    with pytest.raises(ValueError):
+        ogg.read_stream(bytes(data[:-1]))
+
+
+# ---- MinHash
+
+
+def shingles(text, n):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def brute_components(rows, n):
+    sets = [shingles(t, n) for _, t, *_ in rows]
+    label = list(range(len(rows)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label[root(a)] = root(b)
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[root(k)].append(k)
+    return sets, list(groups.values())
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_near_duplicates(docs, none, n):
+    rows = documents()
+    sets, groups = brute_components(rows, n)
+    want = Counter()
+    for group in groups:
+        ids = [rows[k][0] for k in group if rows[k][0] is not None]
+        for k in group:
+            want[rows[k][0], len(sets[k]), min(ids, default=rows[k][0])] += 1
+    got = minhash.near_duplicates(docs, n).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert minhash.near_duplicates(none, n).count() == 0
+    kept = minhash.keep_one_of_each(docs, n)
+    assert kept.columns == docs.columns
+    have = Counter(r.doc_id for r in kept.collect())
+    assert have[1] == have[12] == 1 and not have[2] and not have[3]
+
+
+def test_small_and_edge_sets_lose_no_link(spark, tmp_path):
+    import random
+
+    rnd = random.Random(5)
+    rows, k = [], 0
+    for size in [*range(1, 60), 64, 80, 100, 200]:
+        base = [f"x{rnd.randrange(10**9)}" for _ in range(size + 1)]
+        for _ in range(4):
+            words_ = list(base)
+            for _ in range(rnd.randrange(0, 1 + size // 18)):
+                words_[rnd.randrange(len(words_))] = f"y{rnd.randrange(10**9)}"
+            rows.append((k, " ".join(words_), None, None, None))
+            k += 1
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "d"))
+    sets, groups = brute_components(rows, 2)
+    want = {rows[k][0]: min(rows[j][0] for j in g) for g in groups for k in g}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.read.parquet(str(tmp_path / "d")), 2).collect()}
+    assert got == want
