@@ -10,7 +10,9 @@ scan; pass tables, not the output of an unordered shuffle (materialize() makes o
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -129,13 +131,25 @@ def buckets(df: DataFrame) -> int:
     return 1 << max(8, (2 * partitions(df.sparkSession) - 1).bit_length())
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Millions of strings and lists at once hold no cycles; looking for some takes longer than the work itself."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def each_block(blocks: DataFrame, fn, schema: str) -> DataFrame:
     """fn(block, table) -> record batches, for every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from fn(block, unpack_rows(data.as_py()))
+                with _uncollected():
+                    made = list(fn(block, unpack_rows(data.as_py())))
+                yield from made
 
     return blocks.mapInArrow(run, schema)
 
@@ -145,7 +159,8 @@ def with_answers(blocks: DataFrame, answers: DataFrame, fn, schema: str) -> Data
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         told = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True))
-        made = [fn(unpack_rows(data.as_py()), told) for data in left.column("data")]
+        with _uncollected():
+            made = [fn(unpack_rows(data.as_py()), told) for data in left.column("data")]
         return pa.concat_tables(made) if made else pa.Table.from_batches([], _arrow_schema(schema))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
