@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkspark.plans import record_queries, table_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(record_queries.QUERIES) | table_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(record_queries.SQL) | table_queries.SQL

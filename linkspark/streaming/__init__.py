@@ -1,0 +1 @@
+"""The operators work on whole tables; there is no stream among what they stand for."""
