@@ -238,7 +238,7 @@ def _confirmed(table: pa.Table) -> pa.Table:
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(class, family, shingles): the full set of one document of each wanted (doc_id, class, family)."""
     # The wanted rows are a share of the corpus: the join is dealt by id at any size, small corpora included.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("class", "family", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").select("class", "family", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
