@@ -56,7 +56,8 @@ def _folded(c: str) -> str:
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
-    """Letters that fold to one ASCII character, those characters, a class of combining marks, and what folds to more."""
+    """Letters that fold to one ASCII character, those characters, a class of combining marks, and what folds to more
+    with ASCII in it."""
     one, to, marks, more = [], [], [], {}
     for k in range(0x80, 0x10000):
         c = chr(k)
@@ -64,12 +65,11 @@ def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
             continue
         if unicodedata.combining(c):
             marks.append(c)
-        elif (f := _folded(c)) != c and f.isascii():
-            if len(f) == 1:
-                one.append(c)
-                to.append(f)
-            elif f:
-                more[c] = f
+        elif len(f := _folded(c)) == 1 and f.isascii():
+            one.append(c)
+            to.append(f)
+        elif len(f) > 1 and any(x.isascii() and x.isalnum() for x in f):
+            more[c] = f
     return "".join(one), "".join(to), "[" + "".join(marks) + "]", more
 
 

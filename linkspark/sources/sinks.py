@@ -55,7 +55,8 @@ def validate_lines(lines: DataFrame, header: tuple[str, str], name: str, require
         _issue(listed.filter(~F.col("item").rlike("^S[123]-")), "error", "id of no source"),
     ]
     if required is not None:
-        have, want = good.select("id").distinct(), required.select(F.col("s1_id").alias("id")).distinct()
+        have = good.select("id").distinct()
+        want = required.select(F.col("s1_id").alias("id")).distinct().join(F.broadcast(bad_header)).filter("not fatal").drop("fatal")
         found += [_issue(want.join(have, "id", "left_anti"), "error", "missing id"), _issue(have.join(want, "id", "left_anti"), "error", "extra id")]
     if known is not None:
         found.append(_issue(listed.select("item").distinct().join(known.select(F.col("id").alias("item")), "item", "left_anti"), "error", "unknown id"))
