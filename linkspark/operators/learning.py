@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import similarity, text, translit
+from linkspark.sources.storage import written
 
 
 def name_token_df(records: DataFrame) -> DataFrame:
@@ -25,20 +26,35 @@ def suffix_sets(suffixes: DataFrame) -> DataFrame:
     return suffixes.groupBy("country").agg(F.collect_set("token").alias("suffixes"))
 
 
+#: A learned map goes to every task as one value up to this many entries; a longer one is joined token by token.
+MAX_MAP_ENTRIES = 50_000
+
+
+def apply_token_map(df: DataFrame, key: str, column: str, token_map: DataFrame) -> DataFrame:
+    """``df`` with each token of ``column`` replaced by (translit_token, latin_token), where there is one.
+
+    ``key`` names the rows of ``df``. The number of entries decides between a map value and a join; both give the same.
+    """
+    if token_map.limit(MAX_MAP_ENTRIES + 1).count() <= MAX_MAP_ENTRIES:
+        table = token_map.agg(F.map_from_entries(F.collect_list(F.struct("translit_token", "latin_token"))).alias("_map"))
+        return df.join(F.broadcast(table)).withColumn(column, text.map_tokens(F.col(column), F.col("_map"))).drop("_map")
+    words = df.select(key, F.posexplode(text.tokens(F.col(column))).alias("_at", "translit_token"))
+    mapped = words.join(token_map.select("translit_token", "latin_token"), "translit_token", "left")
+    placed = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("latin_token", "translit_token").alias("t"))))
+    again = mapped.groupBy(key).agg(F.array_join(F.transform(placed, lambda x: x["t"]), " ").alias("_new"))
+    return df.join(again, key, "left").withColumn(column, F.coalesce("_new", F.lit(""))).drop("_new")
+
+
 def normalized(records: DataFrame, suffixes: DataFrame, token_map: DataFrame | None = None) -> DataFrame:
     """Records with name_full, name_core, postal_code and house_number.
 
-    ``token_map`` (translit_token, latin_token) is applied to every name; it is learned per token pair and small.
+    ``token_map`` (translit_token, latin_token) is applied to every name. Ids name records once.
     """
     name = translit.latin(F.col("business_name")) if token_map is not None else F.col("business_name")
-    out = records
+    out = records.withColumn("name_full", text.normalize_full(name))
     if token_map is not None:
-        table = token_map.agg(F.map_from_entries(F.collect_list(F.struct("translit_token", "latin_token"))).alias("_map"))
-        out = out.join(F.broadcast(table))
-        full = text.normalize_full(name, F.col("_map"))
-    else:
-        full = text.normalize_full(name)
-    out = out.withColumn("name_full", full).join(suffix_sets(suffixes), "country", "left")
+        out = apply_token_map(out, "entity_id", "name_full", token_map)
+    out = out.join(suffix_sets(suffixes), "country", "left")
     out = out.withColumn("name_core", text.name_core(F.col("name_full"), F.col("suffixes")))
     out = out.withColumn("postal_code", text.postal_code(F.col("business_address"))).withColumn("house_number", text.house_number(F.col("business_address")))
     return out.select("entity_id", "business_name", "business_address", "country", "name_full", "name_core", "postal_code", "house_number")
@@ -65,9 +81,9 @@ def token_overlap(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 def overlap_stages(pairs: DataFrame, token_map: DataFrame) -> DataFrame:
     """(stage, n_pairs, n_overlap) of (native, other) names: as they are, romanised, and with the learned map."""
-    table = token_map.agg(F.map_from_entries(F.collect_list(F.struct("translit_token", "latin_token"))).alias("_map"))
-    roman = text.normalize_full(translit.latin(F.col("native")))
-    staged = pairs.join(F.broadcast(table)).select(text.normalize_full(F.col("other")).alias("other"), text.normalize_full(F.col("native")).alias("none"), roman.alias("schwa"), text.normalize_full(translit.latin(F.col("native")), F.col("_map")).alias("map"))
+    full = text.normalize_full
+    staged = pairs.select(F.monotonically_increasing_id().alias("_row"), full(F.col("other")).alias("other"), full(F.col("native")).alias("none"), full(translit.latin(F.col("native"))).alias("schwa"))
+    staged = apply_token_map(written(staged.withColumn("map", F.col("schwa")), "overlap"), "_row", "map", token_map)
     out = None
     for stage in ("none", "schwa", "map"):
         part = token_overlap(staged, stage, "other").withColumn("stage", F.lit(stage))
@@ -80,7 +96,7 @@ def align_votes(pairs: DataFrame, min_ratio: float = 65.0) -> DataFrame:
 
     Only partners that differ and are at least ``min_ratio`` alike count.
     """
-    ids = pairs.select(F.monotonically_increasing_id().alias("pair"), text.tokens(F.col("translit")).alias("a"), text.tokens(F.col("latin")).alias("b"))
+    ids = written(pairs.select(F.monotonically_increasing_id().alias("pair"), text.tokens(F.col("translit")).alias("a"), text.tokens(F.col("latin")).alias("b")), "alignment")
     exploded = ids.select("pair", "b", F.posexplode("a").alias("at", "translit_token")).select("pair", "at", "translit_token", F.posexplode("b").alias("place", "latin_token"))
     distinct = exploded.select("translit_token", "latin_token").distinct()
     scored = distinct.withColumn("score", similarity.ratio_of("translit_token", "latin_token"))

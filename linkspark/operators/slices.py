@@ -35,7 +35,7 @@ def greedy_buckets(geo: DataFrame, totals: DataFrame, target: int, max_bucket: i
     sizes = geo.groupBy("country", "geo_token").agg(F.count("*").alias("n")).filter(F.col("n") <= max_bucket)
     order = Window.partitionBy("country").orderBy(hash_order(F.concat_ws("|", "country", "geo_token"), seed), F.col("geo_token"))
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return sizes.withColumn("before", before).join(F.broadcast(shares), "country").filter(F.col("before") < F.col("share")).select("country", "geo_token", "n")
+    return sizes.withColumn("before", before).join(shares, "country").filter(F.col("before") < F.col("share")).select("country", "geo_token", "n")
 
 
 def geo_pool(s1_geo: DataFrame, cand_tokens: DataFrame, ids: DataFrame) -> DataFrame:

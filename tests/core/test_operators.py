@@ -209,6 +209,15 @@ def test_alignment(spark):
     assert {r.stage: r.n_overlap for r in stages.collect()} == {"none": 0, "schwa": 0, "map": 1}
 
 
+@pytest.mark.parametrize("most", [10, 0])
+def test_token_map_by_value_or_join(spark, monkeypatch, most):
+    monkeypatch.setattr(learning, "MAX_MAP_ENTRIES", most)
+    table_ = spark.createDataFrame([(1, "a b a c"), (2, ""), (3, "c")], "k int, x string")
+    token_map = spark.createDataFrame([("a", "z"), ("c", "y")], "translit_token string, latin_token string")
+    got = learning.apply_token_map(table_, "k", "x", token_map)
+    assert {r.k: r.x for r in got.collect()} == {1: "z b z y", 2: "", 3: "y"}
+
+
 # ---- slices and files
 
 
