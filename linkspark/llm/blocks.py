@@ -21,7 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from linkspark.llm.storage import partitions
+from linkspark.llm.storage import partitions, small_batches
 
 #: Bytes of column data in a block; a longer row is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -90,6 +90,7 @@ def pack_rows(df: DataFrame, block_bytes: int = BLOCK_BYTES, width: int | None =
         if held:
             yield flush()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(pack, BLOCK_SCHEMA).repartition(width or partitions(df.sparkSession), "block")
 
 

@@ -65,10 +65,11 @@ class _Spelling:
         self.data = np.frombuffer(b"".join(x or b"" for x in rows), np.uint8)
 
     def write(self, ids: np.ndarray, counts: np.ndarray, drop: int = 0) -> list[bytes]:
-        """The bytes of each list, without the last ``drop``; ``ids`` holds the lists end to end."""
+        """The bytes of each list, without the last ``drop``; ``ids`` holds the lists of one block end to end."""
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - ends + sizes, sizes)
+        at = np.repeat((self.starts[ids] - ends + sizes).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
         out = self.data[at].tobytes()
         edges = np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
         return [out[a : b - drop] for a, b in zip([0, *edges[:-1]], edges, strict=True)]
@@ -110,14 +111,17 @@ def pre_tokens(text: str | None, pattern: str) -> list[str]:
     return _pattern(pattern).findall(text)
 
 
-def _distinct(texts: Iterable[list[str]]) -> set[str]:
-    words: set[str] = set()
-    for found in texts:
-        words.update(found)
-    return words
+def _words_of(texts: Iterable[str | None], pattern: str) -> tuple[list[list[str]], dict[str, str]]:
+    """The pre-tokens of each text, and the distinct ones; equal pre-tokens are one object."""
+    distinct: dict[str, str] = {}
+    found = []
+    for text in texts:
+        words = pre_tokens(text, pattern)
+        found.append(list(map(distinct.setdefault, words, words)))
+    return found, distinct
 
 
-def _by_bucket(words: set[str], n_buckets: int) -> list[list[str]]:
+def _by_bucket(words: Iterable[str], n_buckets: int) -> list[list[str]]:
     """Words sorted within each bucket."""
     out: list[list[str]] = [[] for _ in range(n_buckets)]
     mask, crc = n_buckets - 1, zlib.crc32
@@ -154,7 +158,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     id_type = rows.schema[id_col].dataType.simpleString()
 
     def send(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        lists = _by_bucket(_distinct(pre_tokens(t, pattern) for t in table.column("text").to_pylist()), n_buckets)
+        words: set[str] = set()
+        for text in table.column("text"):
+            words.update(pre_tokens(text.as_py(), pattern))
+        lists = _by_bucket(words, n_buckets)
         some = [k for k, words in enumerate(lists) if words]
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([_pack_words(lists[k]) for k in some], pa.binary())], ["block", "bucket", "words"])
 
@@ -174,9 +181,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
         return pa.table([table.column("block"), table.column("bucket"), pa.array(answers, pa.binary())], ["block", "bucket", "answer"])
 
     def reassemble(table: pa.Table, told: dict[int, bytes]) -> pa.Table:
-        found = [pre_tokens(t, pattern) for t in table.column("text").to_pylist()]
+        found, distinct = _words_of((t.as_py() for t in table.column("text")), pattern)
         words, counts, ids = [], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
-        for k, held in enumerate(_by_bucket(_distinct(found), n_buckets)):
+        for k, held in enumerate(_by_bucket(distinct, n_buckets)):
             if held:
                 numbers = blocks.unpack_numbers(told[k], np.uint32)
                 words += held

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkspark.llm.storage import small_batches
+
 #: N-grams in a profile, of a language or of a text.
 PROFILE = 300
 #: Languages that get a profile: those with the most training text. Profiles go to every task.
 MAX_LANGUAGES = 1024
 UNKNOWN = "und"
 HELD_OUT = 2
-_FLUSH_WORDS = 400_000
+_FLUSH_WORDS, _CUT_WORDS = 200_000, 20_000
 _BITS = 21
 
 
@@ -59,8 +61,8 @@ def ngrams(words: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]
     one = points[here]
     two = (before << _BITS | points)[(before > 0) | here]
     three = (before << 2 * _BITS | points << _BITS | later)[here]
-    tag = np.int64(0x1FFFFF) << 2 * _BITS  # tells an n-gram's length: no letter has that code
-    codes = np.concatenate([one | tag, two | tag >> 1 & ~tag | np.int64(1) << 62, three])
+    # Letters have at most 18 bits, so the two highest bits are free to tell the lengths apart.
+    codes = np.concatenate([one | np.int64(1) << 61, two | np.int64(1) << 62, three])
     weights = np.concatenate([weight[here], weight[(before > 0) | here], weight[here]])
     order = np.argsort(codes, kind="stable")
     codes, weights = codes[order], weights[order]
@@ -112,8 +114,8 @@ def learn(labelled: DataFrame, profile: int = PROFILE) -> Profiles:
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, held in words.items():
                 items = list(held.items())
-                for at in range(0, len(items), 100_000):
-                    codes, counts = ngrams([w for w, _ in items[at : at + 100_000]], [n for _, n in items[at : at + 100_000]])
+                for at in range(0, len(items), _CUT_WORDS):
+                    codes, counts = ngrams([w for w, _ in items[at : at + _CUT_WORDS]], [n for _, n in items[at : at + _CUT_WORDS]])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "code", "n"])
             words.clear()
 
@@ -125,6 +127,7 @@ def learn(labelled: DataFrame, profile: int = PROFILE) -> Profiles:
         yield from flush()
 
     rows = labelled.select("text", "lang").filter("text is not null and lang is not null")
+    small_batches(labelled.sparkSession)
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("code"))
     ranked = counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= profile)
@@ -141,6 +144,7 @@ def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE, id_col
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value.judge

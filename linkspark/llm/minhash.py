@@ -26,7 +26,7 @@ from linkspark.llm import blocks
 from linkspark.llm.components import components, matrix_groups, tree_edges
 from linkspark.llm.grouping import cut_groups, decided_here, name_components
 from linkspark.llm.hashing import mix, window_hashes, word_hashes, word_spans
-from linkspark.llm.storage import materialize, spare
+from linkspark.llm.storage import materialize, small_batches, spare
 
 K = 48
 RUN = 3
@@ -38,6 +38,8 @@ ESTIMATE = 23
 CHUNK = 512
 CHUNK_SHINGLES = 128 << 10
 PERCENT = 80
+#: Bytes of text hashed at once; each byte takes some eight-byte numbers meanwhile.
+SLICE_BYTES = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -63,7 +65,7 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def _set_rows(batch: pa.RecordBatch, column: int, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in blocks.slices(batch):
+    for part in blocks.slices(batch, SLICE_BYTES):
         yield part, list(shingle_sets([x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()], words))
 
 
@@ -78,6 +80,7 @@ def sketch_documents(docs: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "class", "n", "sketch"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, n long, sketch binary")
 
 

@@ -6,34 +6,9 @@ a lost executor, is compressed, and later readers prune its columns. The tables
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a local master without that setting gets a folder of its own."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="linkspark-")
-    return _LOCAL[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/linkspark/{uuid.uuid4().hex}-{name}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).deleteOnExit(at)
-    return path
+from linkspark.sources.storage import new_path
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -49,6 +24,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Rows that go to Python at once. Texts are some KB on average and up to MB, and a batch stands in memory four times.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches to BATCH_ROWS rows, for operators that send whole texts to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.storage import materialize, new_path
+from linkspark.llm.storage import materialize
+from linkspark.sources.storage import new_path
 
 #: Fixed values of the formats: magic numbers of Zstandard frames and of the dictionary frame, and an empty frame.
 FRAME = b"\x28\xb5\x2f\xfd"
