@@ -10,17 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit per character of ``a``."""
+def _places(a: str) -> dict[str, int]:
+    """A bit for each place of each character."""
     places: dict[str, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row = full
+    return places
+
+
+def _lcs(n: int, places: dict[str, int], b: str) -> int:
+    """Longest common subsequence of ``b`` with a text of length ``n``, all its characters at a time."""
+    row = full = (1 << n) - 1
     for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+        if hit := row & places.get(c, 0):
+            row = (row + hit | row - hit) & full
+    return n - row.bit_count()
+
+
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return _lcs(len(a), _places(a), b)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -53,10 +62,31 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not long else 0.0
 
     def best(short: str, long: str) -> float:
+        """Windows by falling bound: no window shares more characters with ``short`` than both hold of each."""
         n, m = len(short), len(long)
-        ends = [(max(0, k - n), min(m, k)) for k in range(1, m + n)]
-        held = set(short)
-        return max(ratio(short, long[i:j]) for i, j in ends if long[i] in held or long[j - 1] in held or j - i == n) if m else 0.0
+        left: dict[str, int] = {}
+        for c in short:
+            left[c] = left.get(c, 0) + 1
+        common, bounds = 0, []
+        for k in range(1, m + n):
+            if k <= m:
+                c = long[k - 1]
+                common += left.get(c, 0) > 0
+                left[c] = left.get(c, 0) - 1
+            if k > n:
+                c = long[k - n - 1]
+                left[c] += 1
+                common -= left[c] > 0
+            size = min(m, k) - max(0, k - n)
+            bounds.append((common / (n + size), k))
+        bounds.sort(reverse=True)
+        top, places = 0.0, _places(short)
+        for bound, k in bounds:
+            if 200 * bound <= top:
+                break
+            window = long[max(0, k - n) : k]
+            top = max(top, 200.0 * _lcs(n, places, window) / (n + len(window)))
+        return top
 
     found = best(short, long)
     return max(found, best(long, short)) if len(short) == len(long) else found

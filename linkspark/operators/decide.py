@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.operators.config import DecideConfig
-from linkspark.operators.evaluate import macro_f_beta
+from linkspark.operators.evaluate import f_beta, macro_f_beta
 from linkspark.sources.storage import written
 
 
@@ -51,8 +51,6 @@ def threshold_scores(scored: DataFrame, truth: DataFrame, ids: DataFrame, thresh
     per = kept.groupBy("threshold", "s1_id").agg(F.count("*").alias("n_pred"), F.sum("hit").alias("tp"))
     wanted = truth_sizes(truth, ids).select("s1_id", "n_truth", grid)
     joined = wanted.join(per, ["threshold", "s1_id"], "left").fillna(0, ["n_pred", "tp"])
-    from linkspark.operators.evaluate import f_beta
-
     return joined.groupBy("threshold").agg(F.round(F.avg(f_beta(F.col("tp"), F.col("n_pred"), F.col("n_truth"), beta)), 9).alias("f"))
 
 

@@ -43,7 +43,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "records": ((), r"""SELECT 'S' || (1 + doc_id % 3) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS entity_id,
       regexp_extract(text, '^\s*(\S+(?:\s+\S+){0,5})', 1) AS business_name, regexp_extract(text, '(\S+(?:\s+\S+){0,7})\s*$', 1) AS business_address, lang AS country
       FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"""),
-    "truth": (("records",), """SELECT a.id AS s1_id, b.id AS cand_id, a.country FROM keyed a JOIN keyed b ON a.country = b.country AND a.key = b.key
+    "truth": (("keyed",), """SELECT a.id AS s1_id, b.id AS cand_id, a.country FROM keyed a JOIN keyed b ON a.country = b.country AND a.key = b.key
       WHERE a.id LIKE 'S1-%' AND b.id NOT LIKE 'S1-%'"""),
     "keyed": ((), """SELECT 'S' || (1 + doc_id % 3) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS id, lang AS country, substr(text, 200, 40) AS key FROM documents WHERE length(text) > 240"""),
     "name_words": (("records",), f"""SELECT country, {_ABBREVIATED} AS token FROM (SELECT country, unnest(string_split(regexp_replace(replace(lower(business_name), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' ')) AS t FROM records) WHERE t <> ''"""),
@@ -97,7 +97,6 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "entity_f": (("counts",), """SELECT *, CASE WHEN n_pred = 0 AND n_truth = 0 THEN 1.0 WHEN n_pred = 0 OR n_truth = 0 OR tp = 0 THEN 0.0
       ELSE 1.25 * (tp::DOUBLE / n_pred) * (tp::DOUBLE / n_truth) / (0.25 * (tp::DOUBLE / n_pred) + tp::DOUBLE / n_truth) END::DOUBLE AS f FROM counts"""),
 }
-STEPS["truth"] = (("keyed",), STEPS["truth"][1])
 
 
 def sql(body: str, *steps: str) -> str:
@@ -187,9 +186,11 @@ def _addresses(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", address.alias("address"))
 
 
-def _named(key: str, build, expression: str, *, steps=("records",), source: str = "records", columns: str = "entity_id") -> None:
+def _named(key: str, build, expression: str | None = None) -> None:
+    """A column function over all names, and its SQL if it has one."""
     QUERIES[key] = lambda spark, d: raw(spark, d).select("entity_id", build(F.col("business_name")).alias("value"))
-    SQL[key] = sql(f"SELECT {columns}, {expression} AS value FROM {source}", *steps)
+    if expression is not None:
+        SQL[key] = sql(f"SELECT entity_id, {expression} AS value FROM records", "records")
 
 
 _named("strip_accents", text.strip_accents, "strip_accents(business_name)")
@@ -200,8 +201,7 @@ _named("script_flag", text.has_devanagari, "regexp_matches(business_name, '[ऀ-
 _named("detect_script", text.detect_script, "CASE " + " ".join(f"WHEN regexp_matches(business_name, '{text.script_class(n)}') THEN '{n}'" for n in text.SCRIPTS) + " END")
 _named("schwa_delete", text.schwa_delete, "array_to_string(list_transform(string_split(business_name, ' '), lambda t: CASE WHEN length(t) > 2 AND ends_with(t, 'a') AND NOT regexp_matches(substr(t, -2, 1), '[aeiouAEIOU]') THEN left(t, length(t) - 1) ELSE t END), ' ')")
 _named("regex_clean", lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), "regexp_replace(lower(business_name), '[^a-z0-9]+', ' ', 'g')")
-_named("transliterate", translit.transliterate, "")
-del SQL["transliterate"]
+_named("transliterate", translit.transliterate)
 
 
 @query("name_core", sql("SELECT entity_id, name_core FROM norm", "norm"))

@@ -45,7 +45,8 @@ def surrogate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.concat(F.lit("S"), (1 + F.col("doc_id") % 3).cast("string"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("entity_id"),
         F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){0,5})", 1).alias("business_name"),
-        F.regexp_extract("text", r"(\S+(?:\s+\S+){0,7})\s*$", 1).alias("business_address"),
+        # The last words are the first of the reversed text; a pattern that ends in $ would try every place before.
+        F.reverse(F.regexp_extract(F.reverse("text"), r"^\s*(\S+(?:\s+\S+){0,7})", 1)).alias("business_address"),
         F.col("lang").alias("country"),
     )
 
