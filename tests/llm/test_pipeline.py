@@ -74,6 +74,23 @@ def test_mix_and_ids(stages):
     assert Counter((r.doc_id, tuple(r.ids)) for r in after) == Counter((r.doc_id, tuple(own.encode_ordinary(r.text or ""))) for r in before)
 
 
+def test_stages_on_nothing(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "0"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, spark.read.parquet(str(tmp_path / str(k))), str(tmp_path)).write.parquet(str(tmp_path / str(k + 1)))
+        assert spark.read.parquet(str(tmp_path / str(k + 1))).count() == 0
+
+
+def test_stages_on_nulls_and_long_texts(spark, tmp_path):
+    rows = [(None, None, None, None, None)] * 2 + [(1, "word " * 400_000, "en", "a", None), (2, "x" * 1_000_000, "en", "a", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "0"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, spark.read.parquet(str(tmp_path / str(k))), str(tmp_path)).write.parquet(str(tmp_path / str(k + 1)))
+    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "2")).collect()} == {1, 2}
+    ids = {r.doc_id: r.ids for r in spark.read.parquet(str(tmp_path / "5")).collect()}
+    assert all(len(x) > 400_000 / 8 for x in ids.values())
+
+
 def test_run_over_files(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and hashlib.sha256(str(sorted(map(str, rows))).encode()).digest() == hashlib.sha256(str(sorted(map(str, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()))).encode()).digest()
