@@ -301,7 +301,7 @@ def _token_overlap(spark, d):
 
 @query("align_votes")
 def _align(spark, d):
-    named = learning.attach_names(truth(spark, d), norm(spark, d), "name_full")
+    named = learning.attach_names(capped(spark, d).select("s1_id", "cand_id"), norm(spark, d), "name_full")
     return learning.align_votes(named.select(F.col("name_a").alias("translit"), F.col("name_b").alias("latin")))
 
 
