@@ -238,10 +238,31 @@ def _confirmed(table: pa.Table) -> pa.Table:
     return _edge_table(similar(_common(sets, len(sets)), n) & decided_here(table), np.asarray(table.column("class")))
 
 
+def _with_class(docs: DataFrame, own: str, words: int) -> DataFrame:
+    """``docs`` with the class of each row's text in the column ``own``."""
+    names = docs.columns
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in _set_rows(batch, at, words):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], [*names, own])
+
+    return docs.mapInArrow(run, f"{types}, `{own}` long")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, family, shingles): the full set of one document of each wanted (doc_id, class, family)."""
+    """(class, family, shingles): the full set of one document of each wanted (doc_id, class, family).
+
+    A wanted class whose rows all have no id is found by its class, one text of each.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The wanted rows are a share of the corpus: the join is dealt by id at any size, small corpora included.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").select("class", "family", "text")
+    named = texts.join(wanted.filter("doc_id is not null").hint("merge"), "doc_id").select("class", "family", "text")
+    # Copies go before the join, and within a map task before the exchange, so no task gets all of a large class.
+    nameless = _with_class(texts.filter("doc_id is null").select("text"), "class", words).filter("class is not null").dropDuplicates(["class"])
+    nameless = nameless.join(wanted.filter("doc_id is null").select("class", "family").hint("merge"), "class").select("class", "family", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +271,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 at = pa.array(own, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([sets[k].tobytes() for k in own], pa.binary())], ["class", "family", "n", "shingles"])
 
-    return texts.mapInArrow(run, "class long, family long, n long, shingles binary").dropDuplicates(["class"])
+    return named.unionByName(nameless).mapInArrow(run, "class long, family long, n long, shingles binary").dropDuplicates(["class"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -270,7 +291,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     passed = cut_groups(met, by, "class", "1", CHUNK).groupBy(*by, "lo", "hi").applyInArrow(_estimated, "a long, b long")
     families = components(passed).select(F.col("node").alias("class"), F.col("label").alias("family"))
     first = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(first.join(families, "class").filter("doc_id is not null"), "wanted")
+    wanted = materialize(first.join(families, "class"), "wanted")
     sets = materialize(_full_sets(docs, wanted, words), "full-sets")
     links = cut_groups(sets, ["family"], "class", "n", CHUNK_SHINGLES).groupBy("family", "lo", "hi").applyInArrow(_confirmed, "a long, b long")
     joined = components(links)
@@ -284,16 +305,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     judged = materialize(near_duplicates(docs, words).filter("stays").select("doc_id", "class").distinct(), "stays")
     names, own, key = docs.columns, spare(docs, "_class"), spare(docs, "_key")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, sets in _set_rows(batch, at, words):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], [*names, own])
-
     # One key for the join and the repeats, so that texts are dealt once.
-    classed = docs.mapInArrow(run, f"{types}, `{own}` long").withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(own)))
+    classed = _with_class(docs, own, words).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(own)))
     known = judged.select(F.xxhash64("doc_id", "class").alias(key))
     return classed.join(known.hint("merge"), key, "left_semi").dropDuplicates([key, "doc_id", own]).select(*names)
 

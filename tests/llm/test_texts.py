@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 
 from linkspark.llm import bpe, language, minhash, mixing, ogg, secrets, substring_dedup
-from tests.llm.samples import SCHEMA, documents
+from tests.llm.samples import SCHEMA, documents, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -344,6 +344,29 @@ def test_near_duplicates(docs, none, n):
     assert have[1] == have[12] == 1 and not have[2] and not have[3]
 
 
+@pytest.mark.parametrize("n", [2, 5])
+def test_near_copies_without_an_id(spark, tmp_path, n):
+    def changed(text, *places):
+        return " ".join("other" if k in places else w for k, w in enumerate(text.split()))
+
+    base, far = prose(1, 120), prose(50, 150)
+    rows = [*documents(), *[(None, t, None, None, None) for t in (changed(base, 60), changed(base, 60, 61), far, far, changed(far, 7), changed(far, 90))]]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    sets, groups = brute_components(rows, n)
+    want = Counter()
+    for group in groups:
+        least = min((rows[k][0] for k in group if rows[k][0] is not None), default=None)
+        for k in group:
+            want[rows[k][0], len(sets[k]), least, rows[k][0] == least] += 1
+    got = minhash.near_duplicates(docs, n).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    kept = [shingles(r.text, n) for r in minhash.keep_one_of_each(docs, n).collect()]
+    for k, a in enumerate(kept):
+        assert not any(a and 100 * len(a & b) >= 80 * len(a | b) for b in kept[:k])
+    assert sum(bool(s & shingles(far, n)) for s in kept) == 1
+
+
 def test_small_and_edge_sets_lose_no_link(spark, tmp_path):
     import random
 
