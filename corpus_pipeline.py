@@ -12,7 +12,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; those without a letter go."""
+    """Rows whose text has a letter; the others go. The language itself drops no row, and rows stay where no label is there to learn from."""
     return language.keep_identified(docs)
 
 

@@ -155,16 +155,26 @@ def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE, id_col
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text has no language."""
-    profiles = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(~held_out(F.col("doc_id")))))
+    """``docs`` without the rows whose text is null or has no letter.
+
+    Profiles come from all labelled rows, as nothing is evaluated here. Every text with a letter has a nearest language
+    and stays, also one in a script that no profile has. Where no row has a usable label nothing is learned; then every
+    text with a letter stays too.
+    """
+    profiles = docs.sparkSession.sparkContext.broadcast(learn(docs))
     names, types = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = profiles.value.judge
+        judge, known = profiles.value.judge, bool(profiles.value.languages)
         for b in batches:
-            yield b.filter(pa.array([judge(x.as_py())[0] != UNKNOWN for x in b.column(at)], pa.bool_()))
+            texts = (x.as_py() for x in b.column(at))
+            yield b.filter(pa.array([judge(x)[0] != UNKNOWN if known else has_letter(x) for x in texts], pa.bool_()))
 
     return docs.mapInArrow(run, types)
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -45,6 +46,15 @@ def test_language_keeps_all_with_letters(stages):
     assert Counter(map(str, after)) == Counter(str(r) for r in before if any(c.isalpha() for c in r.text or ""))
 
 
+def test_language_without_labels(spark):
+    rows = [(i, t, None, s, n) for i, t, _, s, n in documents()]
+    lettered = Counter(t for _, t, *_ in rows if any(c.isalpha() for c in t or ""))
+    assert Counter(r.text for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "").collect()) == lettered
+    fold = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 == 2][:3]
+    rows = [(k, f"some words {k}", "en", None, None) for k in fold] + [(None, "12 !", None, None, None), (None, None, "en", None, None)]
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "").collect()} == set(fold)
+
+
 def test_one_of_each_group_stays(stages):
     _, _, before, after = stages[1]
     sets = [shingles(r.text, 5) for r in after]
