@@ -2,7 +2,9 @@
 
 Operators that look at every word of a corpus would shuffle a row a word. Instead a map task packs some MB of texts
 into one compressed block; what a block has to say about a key goes to the key's bucket as one packed row, and the
-bucket answers the block with one packed row. Blocks and buckets are bounded, so no task holds a group that grows.
+bucket answers the block with one packed row. Blocks have a size, and buckets are as many as the input's bytes ask for,
+so what a task holds doesn't grow with the corpus, but for the few bytes that each block sends about a hot key. A block
+sends a row to a bucket only if it has keys there: rows are at most as many as a plain shuffle by key would have.
 
 A block is made from consecutive rows of an input partition, so its content is fixed as long as the input is a table
 scan; pass tables, not the output of an unordered shuffle (materialize() makes one).
@@ -20,11 +22,14 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linkspark.llm.storage import partitions, small_batches
 
 #: Bytes of column data in a block; a longer row is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Bytes of input files, which are compressed, to a bucket.
+BUCKET_BYTES = 4 << 20
 BLOCK_SCHEMA = "block long, data binary"
 _LEVEL = 1
 
@@ -127,9 +132,27 @@ def unpack_rows(data: bytes) -> pa.Table:
         return stream.read_all()
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables below ``df``, as the optimizer knows them without reading any; where it doesn't
+    know, the bytes of the rows, counted."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    if all(x < 1 << 60 for x in known):
+        return sum(known)
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    return df.select(sum(sizes, F.lit(8 * len(df.columns))).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
 def buckets(df: DataFrame) -> int:
-    """A power of two, some to each reducer."""
-    return 1 << max(8, (2 * partitions(df.sparkSession) - 1).bit_length())
+    """A power of two: a bucket for every BUCKET_BYTES of the input, and some for each reducer."""
+    least = max(2 * partitions(df.sparkSession), -(-input_bytes(df) // BUCKET_BYTES))
+    return 1 << (least - 1).bit_length()
+
+
+def runs(bucket: np.ndarray) -> dict[int, slice]:
+    """Where each bucket lies in an ascending array of buckets; only those that occur."""
+    some, first = np.unique(bucket, return_index=True)
+    return {k: slice(a, b) for k, a, b in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)}
 
 
 @contextmanager
@@ -157,18 +180,30 @@ def each_block(blocks: DataFrame, fn, schema: str) -> DataFrame:
 
 def with_answers(blocks: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
     """fn(table, {bucket: answer}) -> table, for every block and what the buckets answered (block, bucket, answer)."""
+    nothing = _no_rows(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         told = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True))
         with _uncollected():
             made = [fn(unpack_rows(data.as_py()), told) for data in left.column("data")]
-        return pa.concat_tables(made) if made else pa.Table.from_batches([], _arrow_schema(schema))
+        return pa.concat_tables(made) if made else nothing
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def _arrow_schema(ddl: str) -> pa.Schema:
+def of_asked(blocks: DataFrame, asked: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(rows of the block, what was asked of it) -> table, for every block that ``asked`` (block, ...) names."""
+    nothing = _no_rows(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return fn(left, right) if right.num_rows else nothing
+
+    return blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
+
+
+def _no_rows(ddl: str) -> pa.Table:
+    """Made on the driver, as only there the schema's text can be read."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return to_arrow_schema(StructType.fromDDL(ddl)).empty_table()

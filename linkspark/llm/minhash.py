@@ -1,11 +1,11 @@
 """Near-duplicates by bottom-k sketches of word shingles.
 
-One hash function orders the shingles, and the k least of a set are its sketch. Sets that are equal form a class.
-Inverted lists lead from retained values to the classes that hold them. A list is keyed by RUN consecutive values of a
+One hash function orders the shingles, and the k least of a set are its sketch. Texts with the same words, by SHA-256,
+form a class. Inverted lists lead from retained values to the classes that hold them. A list is keyed by RUN consecutive values of a
 sketch rather than by one, since single shingles of two words are in ever more texts as the corpus grows; linked
 sketches have such runs in common nearly always. Each list is joined under one class that stands for it, so classes
 that share many lists meet once. Where they meet, the union sketch estimates similarity, and families of what passes
-are compared exactly on their full sets.
+are compared exactly on their full sets of words, not of hashes.
 
 Of a union of sketches with Jaccard similarity 0.8, K = 48 values in a row hold no three shared ones in turn with
 probability 0.695**48 = 3e-8, 5e-7 for sets of SMALL = 40. The union sketch of a linked pair is under ESTIMATE with
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import blocks
 from linkspark.llm.components import components, matrix_groups, tree_edges
-from linkspark.llm.grouping import cut_groups, decided_here, name_components
-from linkspark.llm.hashing import mix, window_hashes, word_hashes, word_spans
+from linkspark.llm.grouping import group_edges, name_components
+from linkspark.llm.hashing import PRIME, WordHashes, mix, shingles_of, words_of
 from linkspark.llm.storage import materialize, small_batches, spare
 
 K = 48
@@ -40,59 +41,59 @@ CHUNK_SHINGLES = 128 << 10
 PERCENT = 80
 #: Bytes of text hashed at once; each byte takes some eight-byte numbers meanwhile.
 SLICE_BYTES = 1 << 20
+_RUNS = WordHashes()
 
 
-def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
-    """The sorted set of shingle hashes of each text; a text of fewer words has one shingle, of all of them."""
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    starts, ends = word_spans(data)
-    edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])).tolist()
-    hashes = word_hashes(data, starts, ends, lower=True)
-    grams = window_hashes(hashes, words)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b - a >= words:
-            yield np.unique(grams[a : b - words + 1])
-        elif b > a:
-            yield mix(window_hashes(hashes[a:b], b - a) + np.uint64(b - a))
-        else:
-            yield np.empty(0, np.uint64)
+def digest_of(words: list[bytes]) -> bytes | None:
+    """The class of a text: equal for the same words in the same order, null for none."""
+    return hashlib.sha256(b" ".join(words)).digest() if words else None
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """The id of all texts with this set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def sketches(texts: list[list[bytes]], length: int, hashes: WordHashes) -> Iterator[bytes]:
+    """The K least shingle hashes of each text, in order; a text of fewer words has one shingle, of all of them."""
+    edges = np.cumsum([0, *map(len, texts)]).tolist()
+    values = hashes.of(list(chain.from_iterable(texts)))
+    grams = hashes.windows(values, length)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a >= length:
+            yield np.unique(grams[a : b - length + 1])[:K].tobytes()
+        else:
+            yield mix(hashes.windows(values[a:b], b - a) + np.uint64(b - a)).tobytes() if a < b else b""
 
 
-def _set_rows(batch: pa.RecordBatch, column: int, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Slices of a batch with the words of their texts."""
     for part in blocks.slices(batch, SLICE_BYTES):
-        yield part, list(shingle_sets([x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()], words))
+        yield part, [words_of(x, lower=True) for x in part.column(column).cast(pa.binary()).to_pylist()]
 
 
-def sketch_documents(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, class, n, sketch) of each row; class is null for texts without words."""
+def sketch_documents(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, digest, n, sketch) of each row; digest is null for texts without words, n the size of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            for part, sets in _set_rows(batch, 1, words):
+            for part, texts in _words(batch, 1):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s[:K].tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "class", "n", "sketch"],
+                    [part.column(0), pa.array(map(digest_of, texts), pa.binary()), pa.array([len(shingles_of(w, length)) for w in texts], pa.int64()), pa.array(sketches(texts, length, hashes), pa.binary())],
+                    ["doc_id", "digest", "n", "sketch"],
                 )
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, n long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, n long, sketch binary")
 
 
 def list_keys(sketch: np.ndarray, n: int) -> np.ndarray:
     """The distinct keys of the lists that a set of n shingles is in."""
     keys = []
-    if n < SMALL:
+    if n < 4:  # linked to equal sets only
+        keys.append(mix(_RUNS.windows(sketch % np.uint64(PRIME), len(sketch)) + np.uint64(n)))
+    elif n < SMALL:
         least = -(-n * PERCENT // 100)  # shared at least, so two of the first n - least + 2
-        i, j = np.triu_indices(min(n, n - least + 2) if n > 3 else 0, 1)
+        i, j = np.triu_indices(min(len(sketch), n - least + 2), 1)
         keys.append(mix(sketch[i] * np.uint64(3) + sketch[j]))
     if 100 * n >= PERCENT * SMALL:
-        keys.append(window_hashes(sketch, RUN))
+        keys.append(_RUNS.windows(sketch % np.uint64(PRIME), RUN))
     return np.unique(np.concatenate(keys))
 
 
@@ -110,7 +111,7 @@ class _Lists:
         self.first = np.flatnonzero(fresh)
         self.which = np.cumsum(fresh) - 1
         self.counts = np.diff(np.append(self.first, len(self.keys)))
-        self.edges = np.searchsorted(bucket[self.first], np.arange(n_buckets + 1)).tolist()
+        self.cut = blocks.runs(bucket[self.first])
 
 
 def _join_lists(table: pa.Table) -> pa.Table:
@@ -144,10 +145,9 @@ def meetings(classes: DataFrame) -> DataFrame:
     def send(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         s = _Lists(table, n_buckets)
         keys, firsts = s.keys[s.first], s.owner[s.first]
-        some = [k for k in range(n_buckets) if s.edges[k] < s.edges[k + 1]]
-        cut = [slice(s.edges[k], s.edges[k + 1]) for k in some]
+        cut = s.cut.values()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([blocks.pack_sorted(keys[x]) for x in cut], pa.binary()), pa.array([blocks.pack_numbers(s.counts[x].astype(np.uint32)) for x in cut], pa.binary()), pa.array([blocks.pack_numbers(firsts[x]) for x in cut], pa.binary())],
+            [pa.array([block] * len(cut), pa.int64()), pa.array(s.cut, pa.int32()), pa.array([blocks.pack_sorted(keys[x]) for x in cut], pa.binary()), pa.array([blocks.pack_numbers(s.counts[x].astype(np.uint32)) for x in cut], pa.binary()), pa.array([blocks.pack_numbers(firsts[x]) for x in cut], pa.binary())],
             ["block", "bucket", "keys", "counts", "firsts"],
         )
 
@@ -157,7 +157,7 @@ def meetings(classes: DataFrame) -> DataFrame:
         at = np.zeros((2, len(s.first)), np.int64)
         for k, blob in told.items():
             size = int.from_bytes(blob[:4], "little")
-            cut = slice(s.edges[k], s.edges[k + 1])
+            cut = s.cut[k]
             shared[cut] = np.unpackbits(np.frombuffer(blocks.expand(blob[4 : 4 + size]), np.uint8), count=cut.stop - cut.start)
             at[:, cut][:, shared[cut]] = blocks.unpack_numbers(blob[4 + size :], np.int64).reshape(2, -1)
         use = shared[s.which]
@@ -219,7 +219,7 @@ def _estimated(table: pa.Table) -> pa.Table:
     common = _common(sets, len(ids))
     small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
     full = large <= K
-    linked = decided_here(table) & (100 * small >= PERCENT * large) & np.where(full, similar(common, n), common >= ESTIMATE)
+    linked = (100 * small >= PERCENT * large) & np.where(full, similar(common, n), common >= ESTIMATE)
     i, j = np.nonzero(np.triu(linked & ~full, 1))
     filled = np.full((len(ids), K), np.iinfo(np.uint64).max, np.uint64)
     for k, s in enumerate(sets):
@@ -231,14 +231,18 @@ def _estimated(table: pa.Table) -> pa.Table:
     return _edge_table(linked, ids)
 
 
-def _confirmed(table: pa.Table) -> pa.Table:
-    """Edges that stand for the pairs of full sets with enough in common."""
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+def _confirmed(table: pa.Table, length: int) -> pa.Table:
+    """Edges that stand for the pairs of full sets with enough in common; shingles are compared by their words."""
+    number: dict[tuple[bytes, ...], int] = {}
+    sets = []
+    for text in table.column("words"):
+        shingles = shingles_of(text.as_py().split(b" "), length)
+        sets.append(np.fromiter((number.setdefault(x, len(number)) for x in shingles), np.uint64, len(shingles)))
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    return _edge_table(similar(_common(sets, len(sets)), n) & decided_here(table), np.asarray(table.column("class")))
+    return _edge_table(similar(_common(sets, len(sets)), n), np.asarray(table.column("class")))
 
 
-def _with_class(docs: DataFrame, own: str, words: int) -> DataFrame:
+def _with_digest(docs: DataFrame, own: str) -> DataFrame:
     """``docs`` with the class of each row's text in the column ``own``."""
     names = docs.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -246,36 +250,37 @@ def _with_class(docs: DataFrame, own: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sets in _set_rows(batch, at, words):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], [*names, own])
+            for part, texts in _words(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(map(digest_of, texts), pa.binary())], [*names, own])
 
-    return docs.mapInArrow(run, f"{types}, `{own}` long")
+    return docs.mapInArrow(run, f"{types}, `{own}` binary")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, family, shingles): the full set of one document of each wanted (doc_id, class, family).
+def _full_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, family, n, words): the words of one document of each wanted (doc_id, digest, class, family, n).
 
-    A wanted class whose rows all have no id is found by its class, one text of each.
+    A wanted class whose rows all have no id is found by its digest, one text of each.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    columns = ["class", "family", "n", "digest", "text"]
     # The wanted rows are a share of the corpus: the join is dealt by id at any size, small corpora included.
-    named = texts.join(wanted.filter("doc_id is not null").hint("merge"), "doc_id").select("class", "family", "text")
+    named = texts.join(wanted.filter("doc_id is not null").hint("merge"), "doc_id").select(*columns)
     # Copies go before the join, and within a map task before the exchange, so no task gets all of a large class.
-    nameless = _with_class(texts.filter("doc_id is null").select("text"), "class", words).filter("class is not null").dropDuplicates(["class"])
-    nameless = nameless.join(wanted.filter("doc_id is null").select("class", "family").hint("merge"), "class").select("class", "family", "text")
+    nameless = _with_digest(texts.filter("doc_id is null").select("text"), "digest").filter("digest is not null").dropDuplicates(["digest"])
+    nameless = nameless.join(wanted.filter("doc_id is null").select("class", "family", "n", "digest").hint("merge"), "digest").select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sets in _set_rows(batch, 2, words):
-                own = [k for k, (c, s) in enumerate(zip(part.column(0).to_pylist(), sets, strict=True)) if len(s) and class_of(s) == c]
+            for part, found in _words(batch, 4):
+                own = [k for k, (d, w) in enumerate(zip(part.column(3).to_pylist(), found, strict=True)) if digest_of(w) == d]
                 at = pa.array(own, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([sets[k].tobytes() for k in own], pa.binary())], ["class", "family", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(at) for k in range(3)], pa.array([b" ".join(found[k]) for k in own], pa.binary())], ["class", "family", "n", "words"])
 
-    return named.unionByName(nameless).mapInArrow(run, "class long, family long, n long, shingles binary").dropDuplicates(["class"])
+    return named.unionByName(nameless).mapInArrow(run, "class long, family long, n long, words binary").dropDuplicates(["class"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, class, n_shingles, component_id, kept, stays) of every row of (doc_id, text).
+    """(doc_id, digest, n_shingles, component_id, kept, stays) of every row of (doc_id, text).
 
     Shingles are runs of ``words`` words, A to Z lower-cased; links are Jaccard similarities of 0.8 or more, and a
     component is what links reach. Its id is the least doc_id, whose row is kept. Rows without words, null texts
@@ -283,32 +288,34 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     only where none has; rows that share an id are kept together. ``stays`` is true for the rows of one id and class
     in each component only. An empty table gives no rows.
     """
-    sketched = materialize(sketch_documents(docs, words), "sketches")
-    members = sketched.select("doc_id", "class", "n")
-    one_each = sketched.filter("class is not null").select("class", "n", "sketch").dropDuplicates(["class"]).sortWithinPartitions("class")
-    met = materialize(meetings(one_each), "meetings")
-    by = ["at_block", "at"]
-    passed = cut_groups(met, by, "class", "1", CHUNK).groupBy(*by, "lo", "hi").applyInArrow(_estimated, "a long, b long")
-    families = components(passed).select(F.col("node").alias("class"), F.col("label").alias("family"))
-    first = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(first.join(families, "class"), "wanted")
-    sets = materialize(_full_sets(docs, wanted, words), "full-sets")
-    links = cut_groups(sets, ["family"], "class", "n", CHUNK_SHINGLES).groupBy("family", "lo", "hi").applyInArrow(_confirmed, "a long, b long")
-    joined = components(links)
-    return name_components(members, joined, "doc_id", "class").withColumnRenamed("n", "n_shingles")
+    sketched = materialize(sketch_documents(docs, words).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    one_each = sketched.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(one_each.sortWithinPartitions("class"), "classes")
+    members = sketched.select("doc_id", "digest", "n").join(classes.select("digest", "class"), "digest", "left")
+    met = materialize(meetings(classes.select("class", "n", "sketch")), "meetings")
+    families = components(group_edges(met, ["at_block", "at"], "class", "1", CHUNK, _estimated)).select(F.col("node").alias("class"), F.col("label").alias("family"))
+    wanted = materialize(classes.select("class", "digest", "doc_id", "n").join(families, "class"), "wanted")
+    texts = materialize(_full_texts(docs, wanted), "full-texts")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        return _confirmed(table, words)
+
+    joined = components(group_edges(texts, ["family"], "class", "n", CHUNK_SHINGLES, confirm))
+    return name_components(members, joined, "doc_id", "class").withColumnRenamed("n", "n_shingles").drop("class")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each component: its least id, and of rows that agree in id and words any one.
 
-    Texts are dealt by id and class for the join; repeated rows then meet in one task.
+    Texts are dealt by a hash of id and class for the join; repeated rows then meet in one task.
     """
-    judged = materialize(near_duplicates(docs, words).filter("stays").select("doc_id", "class").distinct(), "stays")
-    names, own, key = docs.columns, spare(docs, "_class"), spare(docs, "_key")
-    # One key for the join and the repeats, so that texts are dealt once.
-    classed = _with_class(docs, own, words).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(own)))
-    known = judged.select(F.xxhash64("doc_id", "class").alias(key))
-    return classed.join(known.hint("merge"), key, "left_semi").dropDuplicates([key, "doc_id", own]).select(*names)
+    judged = materialize(near_duplicates(docs, words).filter("stays").select("doc_id", "digest").distinct(), "stays")
+    names, own, key, ident = docs.columns, spare(docs, "_class"), spare(docs, "_key"), spare(docs, "_id")
+    # One key for the join and the repeats, so that texts are dealt once; that keys are of the same id and class is checked.
+    classed = _with_digest(docs, own).withColumn(ident, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(ident, own))
+    known = judged.select(F.xxhash64("doc_id", "digest").alias("_known"), F.col("doc_id").alias("_known_id"), F.col("digest").alias("_known_class"))
+    same = (classed[key] == known["_known"]) & classed[ident].eqNullSafe(known["_known_id"]) & classed[own].eqNullSafe(known["_known_class"])
+    return classed.join(known.hint("merge"), same, "left_semi").dropDuplicates([key, ident, own]).select(*names)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

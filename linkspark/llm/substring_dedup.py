@@ -1,18 +1,20 @@
 """Substring de-duplication by Rabin-Karp hashes of every window of words.
 
 Blocks of documents send the sorted hashes of their windows, each with the smallest document that holds it there, to
-the hashes' buckets. A bucket sees every block that holds a hash and answers each block which of its windows start
-earlier elsewhere. A block then drops every word that such windows, or repeats inside the block, cover: overlapping
-windows merge into maximal intervals.
+the hashes' buckets. A bucket sees every block that holds a hash and tells each block which of its windows start
+earlier elsewhere, and in which block. A block then drops every word that such windows, or repeats inside the block,
+cover: overlapping windows merge into maximal intervals.
 
-Windows with equal 64-bit hashes count as equal: among n windows about n**2 / 2**65 pairs collide by chance, 6e-4 for
-the 1.5e8 windows of 1 GB of text.
+Every window that goes is compared word by word with the earlier one: repeats where they are found, others in the block
+that holds the earlier one, which gets each distinct stretch of such words once. If ever two different windows
+turn out to have one hash, all is done again under another seed, so the result doesn't hang on the hash.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import blocks
-from linkspark.llm.hashing import window_hashes, word_hashes, word_spans
+from linkspark.llm.hashing import WordHashes, words_of
+from linkspark.llm.storage import materialize
 
 WINDOW = 20
 _LAST = np.iinfo(np.int64).max
@@ -29,37 +32,54 @@ _LAST = np.iinfo(np.int64).max
 class _Windows:
     """The windows of a block: its documents in order of id (null last), each text's words end to end."""
 
-    def __init__(self, table: pa.Table, length: int) -> None:
-        ids = table.column(0).to_pylist()
-        self.order = sorted(range(len(ids)), key=lambda k: (_LAST if ids[k] is None else ids[k], k))
-        self.ids = [ids[k] for k in self.order]
-        texts = table.column(1).combine_chunks().cast(pa.binary()).to_pylist()
-        self.data = np.frombuffer(b"\n".join(texts[k] or b"" for k in self.order), np.uint8)
-        sizes = np.fromiter((len(texts[k] or b"") + 1 for k in self.order), np.int64, len(ids))
-        self.starts, self.ends = word_spans(self.data)
-        self.doc_of_word = np.searchsorted(np.cumsum(sizes), self.starts, "right")
-        hashes = window_hashes(word_hashes(self.data, self.starts, self.ends), length)
-        n = len(hashes)
-        own = self.doc_of_word[:n] == self.doc_of_word[length - 1 :][:n] if n else np.empty(0, bool)
-        self.at = np.flatnonzero(own)  # first words of windows within one document
-        hashes = hashes[self.at]
-        by_hash = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[by_hash]
-        fresh = np.ones(len(self.hashes), bool)
-        fresh[1:] = self.hashes[1:] != self.hashes[:-1]
-        self.first = by_hash[fresh]  # windows that come first in this block, by hash
-        self.repeats = by_hash[~fresh]
-        self.hashes = self.hashes[fresh]
-
-
-def _edges(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes; a bucket is a range of hashes."""
-    shift = np.uint64(64 - n_buckets.bit_length() + 1)
-    return np.searchsorted(hashes >> shift, np.arange(n_buckets + 1, dtype=np.uint64))
+    def __init__(self, table: pa.Table, length: int, hashes: WordHashes) -> None:
+        ids = table.column("doc_id").to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: (_LAST if ids[k] is None else ids[k], k))
+        self.length, self.ids = length, [ids[k] for k in order]
+        texts = table.column("text").combine_chunks().cast(pa.binary())
+        self.words: list[bytes] = []
+        edges = [0]
+        for k in order:
+            self.words += words_of(texts[k].as_py())
+            edges.append(len(self.words))
+        self.edges = np.array(edges)
+        doc = np.repeat(np.arange(len(ids)), np.diff(self.edges))
+        values = hashes.windows(hashes.of(self.words), length)
+        n = len(values)
+        self.at = np.flatnonzero(doc[:n] == doc[length - 1 :][:n])  # first words of windows within one document
+        values = values[self.at]
+        by_hash = np.argsort(values, kind="stable")
+        sorted_values = values[by_hash]
+        fresh = np.ones(len(sorted_values), bool)
+        fresh[1:] = sorted_values[1:] != sorted_values[:-1]
+        self.hashes = sorted_values[fresh]
+        self.first = self.at[by_hash[fresh]]  # where each hash comes first in this block
+        self.repeats = self.at[by_hash[~fresh]]
+        self.repeated = self.first[np.cumsum(fresh) - 1][~fresh]  # where the hash of each repeat comes first
+        self.doc = doc
+
+
+def _agree(words: list[bytes], here: np.ndarray, other: list[bytes], there: np.ndarray, length: int) -> bool:
+    """Whether the windows of ``words`` at ``here`` are word by word those of ``other`` at ``there``; neighbours go together."""
+    order = np.argsort(here, kind="stable")
+    here, there = here[order], there[order]
+    cut = (np.flatnonzero((np.diff(here) != 1) | (np.diff(there) != 1)) + 1).tolist()
+    for a, b in zip([0, *cut], [*cut, len(here)], strict=True):
+        if a < b:
+            size, i, j = b - a + length - 1, int(here[a]), int(there[a])
+            if words[i : i + size] != other[j : j + size]:
+                return False
+    return True
+
+
+def _by_bucket(hashes: np.ndarray, n_buckets: int) -> dict[int, slice]:
+    """Where each bucket lies in sorted hashes; a bucket is a range of hashes."""
+    return blocks.runs(hashes >> np.uint64(65 - n_buckets.bit_length()))
 
 
 def _losers(table: pa.Table) -> pa.Table:
-    """One bucket. For each block, a bit per hash: an earlier document elsewhere, or in an earlier block, holds it."""
+    """One bucket. For each block, a bit per hash: an earlier document elsewhere, or in an earlier block, holds it.
+    The blocks that hold the earliest follow."""
     blobs = [blocks.unpack_sorted(x.as_py()) for x in table.column("hashes")]
     docs = [blocks.unpack_numbers(x.as_py(), np.int64) for x in table.column("docs")]
     block = np.asarray(table.column("block"))
@@ -73,73 +93,114 @@ def _losers(table: pa.Table) -> pa.Table:
     shared[:-1] |= same
     rows = by_hash[shared]
     rows = rows[np.lexsort((b[rows], d[rows], h[rows]))]
-    lose = np.zeros(len(h), bool)
-    lose[rows[1:]] = h[rows[1:]] == h[rows[:-1]]
-    out = np.split(lose, np.cumsum(sizes)[:-1])
-    keep = [k for k, x in enumerate(out) if x.any()]
-    return pa.table([table.column("block").take(pa.array(keep, pa.int64())), table.column("bucket").take(pa.array(keep, pa.int64())), pa.array([blocks.squeeze(np.packbits(out[k]).tobytes()) for k in keep], pa.binary())], ["block", "bucket", "answer"])
-
-
-def removed_words(docs: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+    lose, winner = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    if len(rows):
+        fresh = np.concatenate([[True], h[rows[1:]] != h[rows[:-1]]])
+        lose[rows[~fresh]] = True
+        winner[rows] = b[rows[fresh]][np.cumsum(fresh) - 1]
+    out = [(k, x, w[x]) for k, (x, w) in enumerate(zip(np.split(lose, np.cumsum(sizes)[:-1]), np.split(winner, np.cumsum(sizes)[:-1]), strict=True)) if x.any()]
+    keep = pa.array([k for k, _, _ in out], pa.int64())
+    answers = []
+    for _, x, w in out:
+        bits = blocks.squeeze(np.packbits(x).tobytes())
+        answers.append(len(bits).to_bytes(4, "little") + bits + blocks.pack_numbers(w))
+    return pa.table([table.column("block").take(keep), table.column("bucket").take(keep), pa.array(answers, pa.binary())], ["block", "bucket", "answer"])
+
+
+def _stretches(w: _Windows, lost: np.ndarray, winner: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(block, words) of the runs of windows at ``lost`` that one block holds earlier."""
+    order = np.argsort(lost, kind="stable")
+    lost, winner = lost[order], winner[order]
+    cut = np.flatnonzero((np.diff(lost) != 1) | (np.diff(winner) != 0)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(lost)], strict=True):
+        if a < b:
+            at = int(lost[a])
+            yield int(winner[a]), b" ".join(w.words[at : at + b - a + w.length - 1])
+
+
+def removed_words(docs: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, hashes: type[WordHashes] = WordHashes) -> DataFrame:
     """(doc id, n_words, n_removed, kept_sha256), and with ``texts`` also (kept, intervals) of every row.
 
     A word goes if a window of ``length`` words over it occurs earlier: in a smaller id, or earlier in the same
-    document. Null ids come last; rows that share an id come in the order of their blocks. ``kept`` joins the kept
-    words with one space; ``intervals`` are the maximal runs of removed words, end exclusive. Null texts have no
-    words. Ids are integers.
+    document. Null ids come last; rows that share an id, or have none, come in the order of their blocks. ``kept``
+    joins the kept words with one space; ``intervals`` are the maximal runs of removed words, end exclusive. Null and
+    empty texts have no words; a text of any length is judged whole, as a block of its own if it is longer than one.
+    An empty table gives no rows, columns besides the two are passed over. Ids are integers. ``hashes`` makes the word hashes of a seed.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    seed = 0
+    while True:
+        found, collisions = _judged(rows, length, texts, hashes(seed), blocks.buckets(docs))
+        if collisions.isEmpty():
+            return found
+        seed += 1
+
+
+def _judged(rows: DataFrame, length: int, texts: bool, hashes: WordHashes, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The result under one seed, and a row for each block where two different windows had one hash."""
     packed = blocks.pack_rows(rows)
-    n_buckets = blocks.buckets(docs)
 
     def send(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        w = _Windows(table, length)
+        w = _Windows(table, length, hashes)
         ids = np.array([_LAST if x is None else x for x in w.ids], np.int64)
-        first_docs = ids[w.doc_of_word[w.at[w.first]]]
-        edges = _edges(w.hashes, n_buckets).tolist()
-        some = [k for k in range(n_buckets) if edges[k] < edges[k + 1]]
-        hashes = [blocks.pack_sorted(w.hashes[edges[k] : edges[k + 1]]) for k in some]
-        held = [blocks.pack_numbers(first_docs[edges[k] : edges[k + 1]]) for k in some]
-        yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(hashes, pa.binary()), pa.array(held, pa.binary())], ["block", "bucket", "hashes", "docs"])
+        first_docs = ids[w.doc[w.first]]
+        cut = _by_bucket(w.hashes, n_buckets)
+        sent = [blocks.pack_sorted(w.hashes[x]) for x in cut.values()]
+        held = [blocks.pack_numbers(first_docs[x]) for x in cut.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(cut), pa.int64()), pa.array(cut, pa.int32()), pa.array(sent, pa.binary()), pa.array(held, pa.binary())], ["block", "bucket", "hashes", "docs"])
 
     def drop(table: pa.Table, told: dict[int, bytes]) -> pa.Table:
-        w = _Windows(table, length)
-        edges = _edges(w.hashes, n_buckets)
-        lose = np.zeros(len(w.hashes), bool)
-        for k, bits in told.items():
-            size = int(edges[k + 1] - edges[k])
-            lose[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(blocks.expand(bits), np.uint8), count=size)
-        bad = np.zeros(len(w.starts) + 1, np.int32)
-        begin = w.at[np.concatenate([w.repeats, w.first[lose]])]
+        w = _Windows(table, length, hashes)
+        cut = _by_bucket(w.hashes, n_buckets)
+        lose, winner = np.zeros(len(w.hashes), bool), np.zeros(len(w.hashes), np.int64)
+        for k, blob in told.items():
+            size = int.from_bytes(blob[:4], "little")
+            here = cut[k]
+            lose[here] = np.unpackbits(np.frombuffer(blocks.expand(blob[4 : 4 + size]), np.uint8), count=here.stop - here.start)
+            winner[here][lose[here]] = blocks.unpack_numbers(blob[4 + size :], np.int64)
+        bad = np.zeros(len(w.words) + 1, np.int32)
+        begin = np.concatenate([w.repeats, w.first[lose]])
         np.add.at(bad, begin, 1)
         np.add.at(bad, begin + length, -1)
-        gone = np.cumsum(bad[:-1]) > 0
-        return _result(w, gone, texts)
+        out = _result(w, np.cumsum(bad[:-1]) > 0, texts)
+        asked = sorted(set(_stretches(w, w.first[lose], winner[lose])))
+        if not _agree(w.words, w.repeats, w.words, w.repeated, length):
+            asked.append((-1, b""))
+        more = pa.table([pa.array([b for b, _ in asked], pa.int64()), pa.array([s for _, s in asked], pa.binary())], ["holder", "stretch"])
+        return pa.concat_tables([out, more], promote_options="default")
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        bad = left.num_rows == 0  # asked of no block: repeats inside one differ
+        for data in left.column("data"):
+            w = _Windows(blocks.unpack_rows(data.as_py()), length, hashes)
+            for stretch in right.column("stretch"):
+                words = stretch.as_py().split(b" ")
+                values = hashes.windows(hashes.of(words), length)
+                at = np.minimum(np.searchsorted(w.hashes, values), len(w.hashes) - 1)
+                bad = bad or bool((w.hashes[at] != values).any()) or not _agree(words, np.arange(len(values)), w.words, w.first[at], length)
+        return pa.table([pa.array([-1] * bad, pa.int64())], ["block"])
 
     pieces = blocks.each_block(packed, send, "block long, bucket int, hashes binary, docs binary")
     answers = pieces.groupBy("bucket").applyInArrow(_losers, "block long, bucket int, answer binary")
-    more = ", kept string, intervals array<struct<start:long,end:long>>" if texts else ""
-    return blocks.with_answers(packed, answers, drop, f"doc_id long, n_words long, n_removed long, kept_sha256 string{more}")
+    columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, intervals array<struct<start:long,end:long>>" if texts else "")
+    made = materialize(blocks.with_answers(packed, answers, drop, f"{columns}, holder long, stretch binary"), "substrings")
+    asked = made.filter("holder is not null").select(F.col("holder").alias("block"), "stretch").distinct()
+    return made.filter("holder is null").drop("holder", "stretch"), blocks.of_asked(packed, asked, verify, "block long")
 
 
 def _result(w: _Windows, gone: np.ndarray, texts: bool) -> pa.Table:
-    edges = np.searchsorted(w.doc_of_word, np.arange(len(w.ids) + 1))
     running = np.concatenate([[0], np.cumsum(gone)])
-    removed = (running[edges[1:]] - running[edges[:-1]]).tolist()
-    raw, starts, ends = w.data.tobytes(), w.starts.tolist(), w.ends.tolist()
-    hashes, kept, intervals = [], [], []
-    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-        if not removed[k]:
-            words = raw[starts[a] : ends[b - 1]].split() if a < b else []
-        else:
-            words = [raw[starts[i] : ends[i]] for i in (np.flatnonzero(~gone[a:b]) + a).tolist()]
-        line = b" ".join(words)
-        hashes.append(hashlib.sha256(line).hexdigest())
+    removed = (running[w.edges[1:]] - running[w.edges[:-1]]).tolist()
+    keep = (~gone).tolist()
+    digests, kept, intervals = [], [], []
+    for k, (a, b) in enumerate(zip(w.edges[:-1].tolist(), w.edges[1:].tolist(), strict=True)):
+        line = b" ".join(compress(w.words[a:b], keep[a:b]) if removed[k] else w.words[a:b])
+        digests.append(hashlib.sha256(line).hexdigest())
         if texts:
             kept.append(line.decode())
             step = np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))
             intervals.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)])
-    columns = [pa.array(w.ids, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())]
+    columns = [pa.array(w.ids, pa.int64()), pa.array(np.diff(w.edges), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     if texts:
         columns += [pa.array(kept, pa.string()), pa.array(intervals, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]

@@ -3,13 +3,16 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
 
-from linkspark.llm import blocks, components, embedding_dedup, hashing, url_filter, warc
+from pyspark.sql import functions as F
+
+from linkspark.llm import blocks, components, embedding_dedup, grouping, hashing, url_filter, warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -149,25 +152,87 @@ def test_embeddings(spark, monkeypatch, chunk):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
-def test_cover_tree_holds_its_bounds():
-    rnd = np.random.default_rng(1)
-    x = np.concatenate([rnd.normal(size=(60, 5)), np.repeat(rnd.normal(size=(4, 5)), 10, axis=0) + rnd.normal(size=(40, 5)) * 0.01])
+@pytest.mark.parametrize("cells", [1, 3])
+def test_embeddings_by_cells(spark, monkeypatch, cells):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 40)
+    monkeypatch.setattr(embedding_dedup, "MAX_CELLS", cells)
+    rnd = np.random.default_rng(cells)
+    x = np.concatenate([rnd.normal(size=(200, 4)), np.repeat(rnd.normal(size=(3, 4)), 50, axis=0) + rnd.normal(size=(150, 4)) * 0.02])
     unit = x / np.linalg.norm(x, axis=1)[:, None]
-    tree = embedding_dedup.cover_tree(unit, np.arange(100), 0.2)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect()}
+    assert got == {k: (int(linked[k].sum()), int(c)) for k, c in enumerate(components.matrix_groups(linked))}
+
+
+def tree_points(n, spread):
+    rnd = np.random.default_rng(1)
+    return embedding_dedup.Points(np.concatenate([rnd.normal(size=(n, 16)), np.repeat(rnd.normal(size=(20, 16)), n // 10, axis=0) + rnd.normal(size=(2 * n, 16)) * spread]))
+
+
+def test_cover_tree_holds_its_bounds():
+    points = tree_points(100, 0.01)
+    tree = embedding_dedup.cover_tree(points, np.arange(300), 0.2)
 
     def check(node, radius):
-        far = np.linalg.norm(unit[node.members] - unit[node.center], axis=1)
-        assert far.max() <= node.reach + 1e-7 <= radius + 2e-7
+        far = np.linalg.norm(points.unit[node.members] - points.unit[node.center], axis=1)
+        assert far.max() <= node.reach + 1e-7
+        assert node.reach <= radius + 1e-7 or not node.below
         if node.below:
             assert sorted(m for n in node.below for m in n.members) == sorted(node.members)
-            assert node.below[0].center == node.center
             for n in node.below:
                 check(n, radius / 2)
 
     check(tree, 2.0)
-    met = {(min(a, b), max(a, b)) for x, y in embedding_dedup.dual_pairs(unit, tree, tree, 0.2) for a in x.tolist() for b in y.tolist()}
-    near = {(a, b) for a in range(100) for b in range(a + 1, 100) if np.linalg.norm(unit[a] - unit[b]) <= 0.2}
-    assert near <= met
+    met, whole = set(), set()
+    for x, y, every in embedding_dedup.dual_pairs(points, tree, tree, 0.2):
+        for a in x.tolist():
+            for b in y.tolist():
+                if a != b:
+                    (whole if every else met).add((min(a, b), max(a, b)))
+    near = {(a, b) for a in range(300) for b in range(a + 1, 300) if np.linalg.norm(points.unit[a] - points.unit[b]) <= 0.2}
+    assert whole and whole <= near and not whole & met and near <= whole | met
+
+
+def test_cover_tree_saves_distances():
+    points = tree_points(1000, 0.005)
+    n = len(points.unit)
+    tree = embedding_dedup.cover_tree(points, np.arange(n), 0.2)
+    for x, y, whole in embedding_dedup.dual_pairs(points, tree, tree, 0.2):
+        points.taken += 0 if whole else len(x) * len(y)
+    assert points.taken < n * n / 4
+
+
+def test_cells_lose_no_neighbour():
+    points = tree_points(300, 0.05).unit
+    home, visits = embedding_dedup.cells_of(points, points[:40], 0.2)
+    for a in range(len(points)):
+        for b in range(a):
+            if np.linalg.norm(points[a] - points[b]) <= 0.2 and home[a] != home[b]:
+                x, y = (a, b) if home[a] < home[b] else (b, a)
+                assert home[y] in visits[x]
+
+
+# ---- groups
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_groups_grow_without_their_square(spark, alike):
+    seen = spark.sparkContext.accumulator(0)
+
+    def link(table):
+        seen.add(table.num_rows)
+        ids = np.sort(np.asarray(table.column("id")))
+        linked = np.ones((len(ids),) * 2, bool) if alike else np.abs(ids[:, None] - ids[None, :]) == 300
+        return pa.table([pa.array(ids[k].repeat(1)) for k in np.nonzero(np.triu(linked, 1))], ["a", "b"])
+
+    rows = spark.range(600).withColumn("k", F.lit(1))
+    joined = components.components(grouping.group_edges(rows, ["k"], "id", "1", 16, link))
+    got = {r.node: r.label for r in joined.collect()}
+    assert got == {x: 0 if alike else x % 300 for x in range(600)}
+    if alike:  # 600 rows in 38 chunks, the first one met by each
+        assert seen.value < 3 * 600 + 600
 
 
 # ---- components
@@ -204,17 +269,32 @@ def test_tree_edges_keep_components():
 # ---- hashes and blocks
 
 
-def test_hashes_follow_words():
-    data = np.frombuffer("aB  ab\x0bAB é\x00 aB".encode(), np.uint8)
-    starts, ends = hashing.word_spans(data)
-    assert [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == "aB  ab\x0bAB é\x00 aB".encode().split()
-    plain, low = hashing.word_hashes(data, starts, ends), hashing.word_hashes(data, starts, ends, lower=True)
-    assert plain[0] == plain[4] and len(set(plain.tolist())) == 4
-    assert low[0] == low[1] == low[2] == low[4] != low[3]
-    words = np.array([1, 2, 3, 1, 2, 3, 4], np.uint64)
-    windows = hashing.window_hashes(words, 3)
-    assert windows[0] == windows[3] and len(set(windows.tolist())) == 4
-    assert len(hashing.window_hashes(words, 8)) == 0
+def test_words_and_shingles():
+    text = "aB  ab\x0bAB é\x00 aB"
+    assert hashing.words_of(text) == re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    assert hashing.words_of(text, lower=True) == [b"ab", b"ab", b"ab", "é\x00".encode(), b"ab"]
+    assert hashing.words_of(None) == hashing.words_of(" \n") == []
+    assert hashing.shingles_of([b"a", b"b", b"a", b"b"], 2) == {(b"a", b"b"), (b"b", b"a")}
+    assert hashing.shingles_of([b"a"], 2) == {(b"a",)} and hashing.shingles_of([], 2) == set()
+
+
+def test_hashes_are_sums_and_polynomials():
+    rnd = random.Random(1)
+    h = hashing.WordHashes(3)
+    words = [bytes(rnd.randrange(33, 256) for _ in range(rnd.choice([1, 2, 3, 4, 5, 7, 8, 9, 16, 31, 64, 65, 200]))) for _ in range(300)]
+
+    def slow(w):
+        if len(w) > 64:
+            return h._hash(w)
+        return (len(w) * h.factors[-1] + sum(int.from_bytes(w[k : k + 4], "little") * h.factors[k // 4] for k in range(0, len(w), 4))) % hashing.PRIME
+
+    values = h.of(words)
+    assert values.tolist() == [slow(w) for w in words] and not len(h.of([]))
+    values[:3] = [hashing.PRIME - 1, 0, hashing.PRIME - 1]
+    for n in (1, 2, 3, 5, 7, 20, 300, 301):
+        want = [sum(int(v) * pow(h.base, n - 1 - j, hashing.PRIME) for j, v in enumerate(values[k : k + n])) % hashing.PRIME for k in range(len(words) - n + 1)]
+        assert h.windows(values, n).tolist() == hashing.mix(np.array(want, np.uint64)).tolist()
+    assert set(hashing.WordHashes(4).of(words).tolist()).isdisjoint(h.of(words).tolist())
 
 
 def test_packed_numbers():
@@ -233,3 +313,14 @@ def test_blocks_keep_rows(spark, monkeypatch):
     assert sorted(back) == sorted(rows) and len({p.block for p in packed}) == len(packed) > 10
     assert blocks.pack_rows(table.limit(0)).count() == 0
     assert pa.types.is_string(blocks.unpack_rows(bytes(packed[0].data)).schema.field("text").type)
+
+
+def test_buckets_follow_bytes(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    size = blocks.input_bytes(table.filter("id > 3").select("id"))
+    assert size == sum(p.stat().st_size for p in (tmp_path / "d").glob("*.parquet"))
+    few = blocks.buckets(table)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 1)
+    assert blocks.buckets(table) >= size > few and blocks.buckets(table) & (blocks.buckets(table) - 1) == 0
+    assert blocks.input_bytes(spark.createDataFrame([("abc",), (None,)], "t string")) == 3 + 2 * 8
