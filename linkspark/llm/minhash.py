@@ -321,3 +321,27 @@ def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: All pairs that share a shingle, counted; components by a recursive walk over links.
+ORACLE_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT n, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS s FROM docs
+), sizes AS (
+  SELECT n, count(*) AS size FROM shingles GROUP BY n
+), shared AS (
+  SELECT a.n AS a, b.n AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.s = b.s AND a.n < b.n GROUP BY ALL
+), pairs AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.n = a JOIN sizes y ON y.n = b WHERE 100 * n_both >= 80 * (x.size + y.size - n_both)
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a AS n, min(doc_id) AS least FROM reach JOIN docs ON docs.n = b GROUP BY a
+)
+SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, coalesce(least >= doc_id, true) AS kept
+FROM docs LEFT JOIN sizes USING (n) LEFT JOIN least USING (n)
+"""

@@ -28,7 +28,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix": mixing.ORACLE_SQL,
         "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op3_warc": warc.ORACLE_SQL,
         "op4_url_filter": url_filter.ORACLE_SQL,
         "op5_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op8_secrets": secrets.ORACLE_SQL,
+        "op10_minhash": minhash.ORACLE_SQL,
     }

@@ -1,15 +1,20 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
-Every version of a text is addressed by the SHA-256 of its bytes. The ledger holds the (blob, rule version) pairs
-that were scanned; a run scans only pairs it has not seen and joins findings back to all rows that hold the blob.
+Every version of a text is addressed by the SHA-256 of its bytes. The ledger is a stored table of the (blob, rule
+version) pairs that were scanned, each with its spans, none for a clean blob; a run scans only pairs that the ledger
+lacks, adds them to it, and joins its spans back to all rows that hold the blob.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.storage import materialize, spare
+from linkspark.llm.storage import finished, materialize, spare
+from linkspark.sources.storage import new_path
 
 
 def _either(word: str) -> str:
@@ -26,6 +31,8 @@ RULES = (
     ("hex", "([0-9a-f]{32,})", 1, 32),
 )
 SPAN = "struct<start:int,kind:int,end:int>"
+LEDGER = f"blob binary, rule_version string, spans array<{SPAN}>"
+Rule = tuple[str, str, int, int]
 
 
 def blob_of(text: Column) -> Column:
@@ -55,37 +62,60 @@ def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> C
     return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(start["out"])
 
 
-def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """(blob, spans) of those (blob, text) that hold a secret."""
-    kinds = [spans_of(F.col("text"), k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(RULES)]
-    return blobs.select("blob", F.array_sort(F.concat(*kinds)).alias("spans")).filter(F.size("spans") > 0)
+def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(blob, spans) of every (blob, text); spans are empty where there is no secret."""
+    kinds = [spans_of(F.col("text"), k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(rules)]
+    return blobs.select("blob", F.array_sort(F.concat(*kinds)).alias("spans"))
+
+
+class Ledger:
+    """The scanned (blob, rule version) pairs and their spans, in a folder of Parquet tables, one of each run.
+
+    A run's table counts once it is finished, so a run that fails leaves the ledger as it was. Runs at the same time may
+    both scan a blob; a pair is read once however often it stands there. A changed set of rules needs a new version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, rules: Sequence[Rule] = RULES, version: str = RULE_VERSION) -> None:
+        self.spark, self.path, self.rules, self.version = spark, path, rules, version
+
+    def pairs(self) -> DataFrame:
+        """(blob, rule_version, spans) of every pair, of all versions."""
+        runs = finished(self.spark, self.path)
+        if not runs:
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(*runs).dropDuplicates(["blob", "rule_version"])
 
+    def findings(self) -> DataFrame:
+        """(blob, spans) of the blobs with secrets by this version's rules."""
+        return self.pairs().filter((F.col("rule_version") == self.version) & (F.size("spans") > 0)).select("blob", "spans")
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(paths with their spans, ledger, findings) after a run over ``versions``.
+    def scan(self, versions: DataFrame, text_col: str = "text") -> None:
+        """Scans the blobs of all rows that the ledger hasn't under this version, one copy of each.
 
-    ``ledger`` (blob, rule_version) and ``known`` findings (blob, rule_version, spans) of earlier runs are optional;
-    pairs in the ledger are not scanned again. One copy of each blob is scanned, so a third of all rows with one
-    text cost one scan, and each map task sends a text once. Null texts count as empty, empty tables give empty
-    results, rows that share an id each get a row.
+        A third of all rows with one text cost one scan, and each map task sends a text once; texts that the ledger has aren't sent.
+        """
+        blobs = versions.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        if finished(self.spark, self.path):
+            blobs = blobs.join(self.pairs().filter(F.col("rule_version") == self.version).select("blob"), "blob", "left_anti")
+        scanned = scan_blobs(blobs.dropDuplicates(["blob"]), self.rules)
+        scanned.select("blob", F.lit(self.version).alias("rule_version"), "spans").write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+
+
+def scan_versions(versions: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, blob, spans) of every row, spans null where the text holds no secret, after a run over ``versions``.
+
+    The ledger grows by what this run had to scan; without one a new ledger is kept as long as the application runs.
+    Null texts count as empty, empty tables give no rows, rows that share an id each get a row, texts of any length are scanned whole.
     """
+    ledger = ledger or Ledger(versions.sparkSession, new_path(versions.sparkSession, "ledger"))
     paths = materialize(versions.select(F.col(id_col), blob_of(F.col(text_col)).alias("blob")), "paths")
-    blobs = versions.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    findings = materialize(scan_blobs(blobs.dropDuplicates(["blob"])).withColumn("rule_version", F.lit(RULE_VERSION)), "findings")
-    seen = paths.select("blob").distinct().withColumn("rule_version", F.lit(RULE_VERSION))
-    if known is not None:
-        findings = findings.unionByName(known)
-    if ledger is not None:
-        seen = seen.unionByName(ledger).distinct()
-    now = findings.filter(F.col("rule_version") == RULE_VERSION).select("blob", "spans")
-    return paths.join(now, "blob", "left").select(id_col, "blob", "spans"), seen, findings
-
-
-def digest(spans: Column) -> Column:
+    ledger.scan(versions, text_col)
+    return paths.join(ledger.findings(), "blob", "left").select(id_col, "blob", "spans")
+
+
+def digest(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
     """kind:start:end of each span, in order, joined by commas."""
-    names = F.array(*[F.lit(kind) for kind, *_ in RULES])
+    names = F.array(*[F.lit(kind) for kind, *_ in rules])
     return F.coalesce(F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ","), F.lit(""))
 
 
@@ -105,11 +135,15 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def redact_documents(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with secrets masked in text and n_chars brought up to date; a text without secrets stays as it is."""
+def redact_documents(docs: DataFrame, mask: str = "[SECRET]", ledger: Ledger | None = None) -> DataFrame:
+    """``docs`` with secrets masked in text and n_chars brought up to date; a text without secrets stays as it is.
+
+    Only texts that ``ledger`` doesn't know are scanned, and it grows by them; without one a new ledger is begun.
+    """
     blob, spans, masked = (spare(docs, x) for x in ("_blob", "_spans", "_masked"))
-    _, _, findings = scan_versions(docs)
-    found = findings.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    ledger = ledger or Ledger(docs.sparkSession, new_path(docs.sparkSession, "ledger"))
+    ledger.scan(docs)
+    found = ledger.findings().select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     clean = F.col(spans).isNull()
     joined = docs.withColumn(blob, blob_of(F.col("text"))).join(found, blob, "left")
     # In two steps: within one select, names in a lambda would mean the new columns.
@@ -120,7 +154,7 @@ def redact_documents(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    paths, _, _ = scan_versions(docs)
+    paths = scan_versions(docs)
     counts = [count_kind(F.col("spans"), k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(RULES)]
     base = digest(F.col("spans"))
     return paths.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), base.alias("spans"))

@@ -19,6 +19,13 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """The finished tables in a folder, which need not be there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(x.getPath().getParent().toString() for x in found or [])
+
+
 def partitions(spark: SparkSession) -> int:
     """The shuffle width that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

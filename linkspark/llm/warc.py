@@ -1,8 +1,8 @@
 """WARC 1.1 archives in Zstandard: a dictionary in the leading skippable frame, then one frame per record.
 
-Spark's own text writer puts the frames into files: a row is a frame, and the line separator is an empty skippable
-frame, which readers of the format pass over. So archives are written and read through any file system that Spark
-knows, and a lost task only writes its own file again.
+Spark's own text writer puts the frames into files: a row is an archive of some MB, and a file has one row. So archives
+are written and read through any file system that Spark knows, a lost task only writes its own files again, and files
+are small enough to be read whole; only a record that is larger by itself makes a larger one.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm.storage import materialize
+from linkspark.llm.blocks import slices
+from linkspark.llm.storage import materialize, small_batches
 from linkspark.sources.storage import new_path
 
 #: Fixed values of the formats: magic numbers of Zstandard frames and of the dictionary frame, and an empty frame.
@@ -27,11 +28,14 @@ EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Pages that the dictionary is trained on, the first ones of the table; it changes sizes only, never content.
+#: Pages that the dictionary is trained on, the first ones of the table, and bytes of each; it changes sizes only, never content.
 SAMPLE_PAGES = 200
+SAMPLE_BYTES = 64 << 10
 DICTIONARY_BYTES = 32 << 10
-#: Records in a file, its dictionary counted; files stay small enough to be read whole.
-FILE_RECORDS = 2048
+#: Compressed bytes in a row of a file, its dictionary counted; a larger record is a row of its own.
+ARCHIVE_BYTES = 4 << 20
+#: Rows that the reader gives at once, and bytes of payload.
+READ_ROWS, READ_BYTES = 1024, 4 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -138,7 +142,7 @@ def http_payload(block: bytes) -> tuple[int, bytes]:
     raise ValueError("no Content-Length")
 
 
-def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
+def read_archive(data: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], int, bytes]]:
     """(header fields, payload length, payload) of each record; the payload of a revisit is empty."""
     decoder, lead = None, True
     for magic, frame in frames(memoryview(data)):
@@ -176,24 +180,36 @@ def with_originals(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """A record for each row of (page_id long, url, html), in files below ``path``."""
-    sample = [(r.html or "").encode() for r in pages.select("html").limit(SAMPLE_PAGES).collect()]
+    sample = [(r.html or "").encode() for r in pages.select(F.substring("html", 1, SAMPLE_BYTES // 4).alias("html")).limit(SAMPLE_PAGES).collect()]
     dictionary = train([x for x in sample if x])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
-        n = 0
-        for b in batches:
-            made = []
-            for page_id, url, html, revisit, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if n % FILE_RECORDS == 0:  # the writer begins a file here
-                    made.append(dictionary_frame(dictionary))
-                    n += 1
-                made.append(encoder.compress(record(page_id, url, (html or "").encode(), revisit, refers_to)))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["frame"])
+        lead = dictionary_frame(dictionary)
+        held, size = [lead], len(lead)
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+
+        for batch in batches:
+            for b in slices(batch):
+                for page_id, url, html, revisit, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    frame = encoder.compress(record(page_id, url, (html or "").encode(), revisit, refers_to))
+                    if size + len(frame) > ARCHIVE_BYTES and len(held) > 1:
+                        yield flush()
+                        held, size = [lead], len(lead)
+                    held.append(frame)
+                    size += len(frame)
+        if len(held) > 1:
+            yield flush()
+
+    small_batches(pages.sparkSession)
+    made = with_originals(pages).mapInArrow(write, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    made.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
+
 
-    made = with_originals(pages).mapInArrow(write, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    made.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def _rows_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -205,9 +221,17 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                rows = [(_page(f["warc-record-id"]), f["warc-type"], f["warc-target-uri"], length, f["warc-payload-digest"].removeprefix("sha1:"), _page(f["warc-refers-to"]) if f["warc-type"] == "revisit" else None, body) for f, length, body in read_archive(data.as_py())]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
+                rows, size = [], 0
+                for f, length, body in read_archive(data.as_buffer()):
+                    revisit = f["warc-type"] == "revisit"
+                    row = _page(f["warc-record-id"]), f["warc-type"], f["warc-target-uri"], length, f["warc-payload-digest"].removeprefix("sha1:"), _page(f["warc-refers-to"]) if revisit else None, body
+                    rows.append(row[: len(names)])
+                    size += len(body) * payloads
+                    if len(rows) >= READ_ROWS or size >= READ_BYTES:
+                        yield _rows_of(rows, names, types)
+                        rows, size = [], 0
+                if rows:
+                    yield _rows_of(rows, names, types)
 
     names = ["page_id", "record_type", "target_uri", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * payloads
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * payloads
@@ -220,3 +244,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32_sql(text: str) -> str:
+    """SHA-1 in bare base32: each five hex digits are four letters."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {0}) & 31) + 1, 1)"
+    four = " || ".join(letter.format(k) for k in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(list_transform(range(8), lambda k: ('0x' || substr(sha1({text}), 5 * k + 1, 5))::INT), lambda v: {four}), '')"
+
+
+ORACLE_SQL = f"""
+WITH digested AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, {_base32_sql("coalesce(html, '')")} AS d FROM pages)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM digested)
+"""

@@ -58,6 +58,18 @@ def test_archives(spark, table, tmp_path):
     assert warc.read_archives(spark, path).filter("target_uri like '%\\n%'").count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000)
+    rnd = random.Random(2)
+    rows = [(k, f"http://a/{k}", rnd.randbytes(size).hex()) for k, size in enumerate([20_000] * 40 + [1_500_000, 10, 10])]
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "warc").glob("part-*"))
+    assert len(sizes) > 8 and sizes[-2] < 140_000 < sizes[-1]
+    got = warc.read_archives(spark, path).select("page_id", "payload").collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {k: html for k, _, html in rows}
+
+
 def test_no_pages(spark, tmp_path):
     path = f"file://{tmp_path}/warc"
     warc.write_archives(spark.createDataFrame([], PAGES), path)
