@@ -12,7 +12,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a letter; the others go. The language itself drops no row, and rows stay where no label is there to learn from."""
+    """Rows that a language is found for. Texts without a letter go, and those in a script that no labelled text has; lettered rows stay where nothing is labelled."""
     return language.keep_identified(docs)
 
 
