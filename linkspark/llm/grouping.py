@@ -28,7 +28,8 @@ def group_edges(rows: DataFrame, keys: list[str], id_col: str, weight: str, most
     sums = materialize(sums.select(*keys, F.ceil(F.col("_sum") / most).cast("int").alias("_chunks")), "groups")
     cut = rows.join(sums, keys).withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int"))
     meets = F.when(F.col("_chunk") == 0, F.sequence(F.lit(0), F.col("_chunks") - 1)).otherwise(F.array("_chunk"))
-    dealt = cut.withColumn("_at", F.explode(meets)).drop("_chunk", "_chunks")
+    # Dealt anew, as rows that the join dealt by the keys would all stay in one task.
+    dealt = cut.withColumn("_at", F.explode(meets)).drop("_chunk", "_chunks").repartition(*keys, "_at")
     first = materialize(dealt.groupBy(*keys, "_at").applyInArrow(link, EDGES), "links")
     if sums.filter("_chunks > 1").isEmpty():
         return first
@@ -43,7 +44,7 @@ def group_edges(rows: DataFrame, keys: list[str], id_col: str, weight: str, most
     left = rest.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64(id_col, F.lit("part")), F.col("_parts")).cast("int")).withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     right = cut.join(parts, keys).withColumn("_at", F.col("_chunk")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     both = left.select(*rows.columns, "_at", "_part").unionByName(right.select(*rows.columns, "_at", "_part"))
-    return first.unionByName(both.groupBy(*keys, "_at", "_part").applyInArrow(link, EDGES))
+    return first.unionByName(both.repartition(*keys, "_at", "_part").groupBy(*keys, "_at", "_part").applyInArrow(link, EDGES))
 
 
 def name_components(members: DataFrame, joined: DataFrame, id_col: str, class_col: str) -> DataFrame:
