@@ -176,7 +176,8 @@ def _dealt(classes: DataFrame, chunk: int, cells: int, distance: float) -> DataF
     order = Window.partitionBy(*by).orderBy(F.xxhash64("class"), "class")
     centers = classes.withColumn("_cell", F.row_number().over(order) - 1).filter(F.col("_cell") < cells).join(groups, by).filter("_cell < _cells and _cells > 1")
     centers = centers.select(*[F.col(c).alias(c) for c in by], "_cell", F.col("vector").alias("center"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
-    salted = classes.join(groups, by).withColumn("_salt", F.pmod(F.xxhash64("class", F.lit("salt")), F.col("_salts")).cast("int")).drop("_salts", "_cells")
+    # Dealt anew after the joins, as rows that one dealt by the label would all stay in one task.
+    salted = classes.join(groups, by).withColumn("_salt", F.pmod(F.xxhash64("class", F.lit("salt")), F.col("_salts")).cast("int")).drop("_salts", "_cells").repartition(*by, "_salt")
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         if right.num_rows and left.num_rows:
@@ -222,7 +223,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     def run(part: pa.Table) -> pa.Table:
         return _linked(part, threshold)
 
-    met = _dealt(classes, CHUNK, MAX_CELLS, distance).groupBy("label", "size", "cell", "lo", "hi")
+    group = ["label", "size", "cell", "lo", "hi"]
+    met = _dealt(classes, CHUNK, MAX_CELLS, distance).repartition(*group).groupBy(*group)
     found = materialize(met.applyInArrow(run, "a long, b long, links long"), "links")
     joined = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
