@@ -1,14 +1,9 @@
-"""String similarities from 0 to 100: pure kernels, and one Arrow UDF for all of a pair's."""
+"""String similarities from 0 to 100 of one pair: the definitions. ``batches`` has them for many pairs at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
-
 
 def _places(a: str) -> dict[str, int]:
     """A bit for each place of each character."""
@@ -120,30 +115,3 @@ def jaro_winkler(a: str, b: str) -> float:
             break
         prefix += 1
     return 100.0 * (jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro)
-
-
-def _column_udf(kernel: Callable[[str, str], float]):
-    @F.pandas_udf(DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return run
-
-
-def _all(name: Iterable[str], other: Iterable[str], kernels: list) -> list[list[float]]:
-    pairs = [(x or "", y or "") for x, y in zip(name, other, strict=True)]
-    return [[k(x, y) for x, y in pairs] for k in kernels]
-
-
-_FOUR = ("ratio", "set", "partial", "jw")
-SIMILARITIES = [f"{x}_{k}" for x in ("full", "core") for k in _FOUR] + ["address_ratio", "address_set"]
-
-
-@F.pandas_udf(StructType([StructField(name, FloatType()) for name in SIMILARITIES]))
-def pair_similarities(full_a: pd.Series, full_b: pd.Series, core_a: pd.Series, core_b: pd.Series, address_a: pd.Series, address_b: pd.Series) -> pd.DataFrame:
-    four = [ratio, token_set_ratio, partial_ratio, jaro_winkler]
-    values = _all(full_a, full_b, four) + _all(core_a, core_b, four) + _all(address_a, address_b, four[:2])
-    return pd.DataFrame({n: pd.Series(v, dtype="float32") for n, v in zip(SIMILARITIES, values, strict=True)})
-
-
-ratio_of, token_set_ratio_of, partial_ratio_of, jaro_winkler_of = map(_column_udf, (ratio, token_set_ratio, partial_ratio, jaro_winkler))

@@ -1,7 +1,8 @@
 """Candidate pairs by blocks. A block pairs a reference record (s1_id) with at most a cap of candidates (cand_id).
 
-Country is a key of every join, never a loop. Fan-out is pruned on the token counts before the join that would fan
-out, and each block is cut to its cap before blocks are united.
+Country is a key of every join, never a loop. Fan-out is pruned before the join that would fan out: by token counts, to
+a cap's least ids of a key where ids alone rank, or to the grams that a similar pair must share. Each block is cut to its
+cap before blocks are united.
 """
 
 from __future__ import annotations
@@ -57,10 +58,19 @@ def _sides(s1: DataFrame, cand: DataFrame, columns: list[str]) -> tuple[DataFram
     return s1.select(F.col("entity_id").alias("s1_id"), *columns), cand.select(F.col("entity_id").alias("cand_id"), *columns)
 
 
+def _least_of_key(cand: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """The ``cap`` least candidate ids of each key: where ids alone rank, no reference record with that key takes others.
+
+    So a join on a hot key makes as many rows as the cap, not as the key has candidates.
+    """
+    return cand.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("cand_id"))).filter(F.col("_rank") <= cap).drop("_rank")
+
+
 def block_exact_core(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
     """Equal core names, least candidate ids first."""
-    a, b = _sides(s1.filter("name_core <> ''"), cand, ["country", "name_core"])
-    return _top(a.join(b, ["country", "name_core"]), [F.col("cand_id")], cfg.per_block_cap)
+    keys = ["country", "name_core"]
+    a, b = _sides(s1.filter("name_core <> ''"), cand.filter("name_core <> ''"), keys)
+    return _top(a.join(_least_of_key(b, keys, cfg.per_block_cap), keys), [F.col("cand_id")], cfg.per_block_cap)
 
 
 def rarity_scores(s1_tokens: DataFrame, cand_tokens: DataFrame, counts: DataFrame) -> DataFrame:
@@ -81,8 +91,9 @@ def block_postal(s1: DataFrame, cand: DataFrame, s1_tokens: DataFrame, cand_toke
     a, b = _sides(s1.filter("postal_code is not null"), cand.filter("postal_code is not null"), ["country", "postal_code"])
     x = s1_tokens.select(F.col("entity_id").alias("s1_id"), "country", "token")
     y = cand_tokens.select(F.col("entity_id").alias("cand_id"), "country", "token")
-    pairs = a.join(x, ["s1_id", "country"]).join(b.join(y, ["cand_id", "country"]), ["country", "postal_code", "token"])
-    return _top(pairs, [F.col("cand_id")], cfg.per_block_cap)
+    keys = ["country", "postal_code", "token"]
+    some = _least_of_key(b.join(y, ["cand_id", "country"]), keys, cfg.per_block_cap)
+    return _top(a.join(x, ["s1_id", "country"]).join(some, keys), [F.col("cand_id")], cfg.per_block_cap)
 
 
 def sorted_positions(s1: DataFrame, cand: DataFrame) -> DataFrame:
@@ -111,8 +122,9 @@ def block_sorted_neighborhood(s1: DataFrame, cand: DataFrame, cfg: BlockingConfi
 
 def block_geo(s1_geo: DataFrame, cand_geo: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
     """Equal rarest address token, if it isn't common among candidates."""
-    a, b = _sides(s1_geo, cand_geo.filter(F.col("geo_df") <= cfg.max_geo_token_df), ["country", "geo_token"])
-    return _top(a.join(b, ["country", "geo_token"]), [F.col("cand_id")], cfg.per_block_cap)
+    keys = ["country", "geo_token"]
+    a, b = _sides(s1_geo, cand_geo.filter(F.col("geo_df") <= cfg.max_geo_token_df), keys)
+    return _top(a.join(_least_of_key(b, keys, cfg.per_block_cap), keys), [F.col("cand_id")], cfg.per_block_cap)
 
 
 def block_address(s1: DataFrame, cand: DataFrame, s1_tokens: DataFrame, cand_tokens: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
@@ -139,15 +151,40 @@ def gram_weights(records: DataFrame, cfg: BlockingConfig = DEFAULT, column: str
     idf = df.select("country", "gram", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     raw = tf.join(idf, ["country", "gram"]).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "entity_id").select("entity_id", "country", "gram", (F.col("raw") / F.col("norm")).alias("weight"))
+    return raw.join(norm, "entity_id").select("entity_id", "country", "gram", (F.col("raw") / F.col("norm")).alias("weight"), "idf")
+
+
+def leading_grams(weights: DataFrame, least: float) -> DataFrame:
+    """The rarest grams of each record, without the commonest ones whose weights together have a length under ``least``.
+
+    Of two unit vectors with a product of ``least`` or more, the rarest gram in common leads in both: all that they have
+    in common follows it, and the product is at most the length of what follows in either.
+    """
+    common_first = Window.partitionBy("entity_id").orderBy("idf", "gram").rowsBetween(Window.unboundedPreceding, 0)
+    squares = weights.withColumn("_square", F.sum(F.col("weight") * F.col("weight")).over(common_first))
+    return squares.filter(F.col("_square") >= max(0.0, least) ** 2).drop("_square")
 
 
 def block_tfidf(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAULT, column: str = "name_core") -> DataFrame:
-    """Cosine of character-gram weights by an inverted list of grams; the best of each reference record."""
-    weights = gram_weights(s1.select("entity_id", "country", column).unionByName(cand.select("entity_id", "country", column)), cfg, column)
-    a = weights.join(s1.select("entity_id"), "entity_id", "left_semi").select(F.col("entity_id").alias("s1_id"), "country", "gram", F.col("weight").alias("wa"))
-    b = weights.join(cand.select("entity_id"), "entity_id", "left_semi").select(F.col("entity_id").alias("cand_id"), "country", "gram", F.col("weight").alias("wb"))
-    scored = a.join(b, ["country", "gram"]).groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("score"))
+    """Cosine of character-gram weights; the best of each reference record.
+
+    Inverted lists hold leading grams only, so that grams which a large part of a country has meet nowhere but in the
+    vectors of pairs that share a rare one too.
+    """
+    both = s1.select("entity_id", "country", column).unionByName(cand.select("entity_id", "country", column))
+    weights = written(gram_weights(both, cfg, column), "gram-weights")
+    leading = written(leading_grams(weights, cfg.gram_min_similarity - 1e-6).select("entity_id", "country", "gram"), "leading-grams")
+    vectors = weights.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("vector"))
+    vectors = written(vectors, "gram-vectors")
+
+    def side(rows: DataFrame, records: DataFrame, name: str) -> DataFrame:
+        return rows.join(records.select("entity_id"), "entity_id", "left_semi").withColumnRenamed("entity_id", name)
+
+    pairs = side(leading, s1, "s1_id").join(side(leading, cand, "cand_id"), ["country", "gram"]).select("s1_id", "cand_id").distinct()
+    a, b = side(vectors, s1, "s1_id"), side(vectors, cand, "cand_id").withColumnRenamed("vector", "other")
+    terms = F.transform(F.map_entries("other"), lambda x: x["value"] * F.coalesce(F.try_element_at("vector", x["key"]), F.lit(0.0)))
+    product = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
+    scored = pairs.join(a, "s1_id").join(b, "cand_id").select("s1_id", "cand_id", F.round(product, 9).alias("score"))
     return _top(scored.filter(F.col("score") >= cfg.gram_min_similarity), [F.col("score").desc(), F.col("cand_id")], cfg.per_block_cap)
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text
-from linkspark.functions.similarity import pair_similarities
+from linkspark.functions.batches import pair_similarities
 
+#: The blocks whose finds are features.
 FLAGGED_BLOCKS = ("b1_exact_core", "b2_rare_token", "b3_postal_minor", "b_sorted_neighborhood", "bgeo_address_token")
 RECORD_COLUMNS = ("name_full", "name_core", "business_address", "postal_code")
 
@@ -50,10 +51,14 @@ def native_features(joined: DataFrame) -> list[Column]:
 
 
 def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """(s1_id, cand_id) and 22 float features of capped pairs; one Arrow pass computes all similarities."""
-    joined = attach_records(pairs.select("s1_id", "cand_id", "blocks", "n_blocks"), records)
-    cleaned = [text.basic_clean(F.col(c)) for c in ("a_business_address", "b_business_address")]
-    scored = joined.withColumn("s", pair_similarities("a_name_full", "b_name_full", "a_name_core", "b_name_core", *cleaned))
+    """(s1_id, cand_id) and 22 float features of capped pairs; one Arrow pass computes all similarities.
+
+    Addresses are cleaned once a record, and pairs are dealt evenly before the pass, which costs more than the exchange:
+    a join may leave them in the few partitions of a small side.
+    """
+    cleaned = records.withColumn("clean_address", text.basic_clean(F.col("business_address")))
+    joined = attach_records(pairs.select("s1_id", "cand_id", "blocks", "n_blocks"), cleaned, (*RECORD_COLUMNS, "clean_address")).repartition("s1_id", "cand_id")
+    scored = joined.withColumn("s", pair_similarities("a_name_full", "b_name_full", "a_name_core", "b_name_core", "a_clean_address", "b_clean_address"))
     renamed = {"full_ratio": "name_full_ratio", "full_set": "name_full_token_set_ratio", "full_partial": "name_full_partial_ratio", "full_jw": "name_full_jaro_winkler", "core_ratio": "name_core_ratio", "core_set": "name_core_token_set_ratio", "core_partial": "name_core_partial_ratio", "core_jw": "name_core_jaro_winkler", "address_ratio": "address_ratio", "address_set": "address_token_set_ratio"}
     return scored.select("s1_id", "cand_id", *[F.col(f"s.{k}").alias(v) for k, v in renamed.items()], *native_features(joined))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.functions import similarity, text, translit
+from linkspark.functions import batches, text, translit
 from linkspark.sources.storage import written
 
 
@@ -99,7 +99,7 @@ def align_votes(pairs: DataFrame, min_ratio: float = 65.0) -> DataFrame:
     ids = written(pairs.select(F.monotonically_increasing_id().alias("pair"), text.tokens(F.col("translit")).alias("a"), text.tokens(F.col("latin")).alias("b")), "alignment")
     exploded = ids.select("pair", "b", F.posexplode("a").alias("at", "translit_token")).select("pair", "at", "translit_token", F.posexplode("b").alias("place", "latin_token"))
     distinct = exploded.select("translit_token", "latin_token").distinct()
-    scored = distinct.withColumn("score", similarity.ratio_of("translit_token", "latin_token"))
+    scored = distinct.withColumn("score", batches.ratio_of("translit_token", "latin_token"))
     best = Window.partitionBy("pair", "at").orderBy(F.col("score").desc(), F.col("place"))
     top = exploded.join(scored, ["translit_token", "latin_token"]).withColumn("k", F.row_number().over(best)).filter("k = 1")
     kept = top.filter((F.col("score") >= min_ratio) & (F.col("translit_token") != F.col("latin_token")))

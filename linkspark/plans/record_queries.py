@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.functions import similarity, text, translit
+from linkspark.functions import batches, text, translit
 from linkspark.operators import blocking, decide, evaluate, features, learning, model, slices
 from linkspark.operators.config import BlockingConfig, DecideConfig, ModelConfig
 from linkspark.sources import records, sinks
@@ -396,7 +396,7 @@ def _config_sweep(spark, d):
 
 
 def _pairs(spark, d):
-    return features.attach_records(capped(spark, d), norm(spark, d))
+    return features.attach_records(written(capped(spark, d), "capped"), norm(spark, d))
 
 
 @query("pair_attach", sql("SELECT s1_id, cand_id, a.name_full AS a_name_full, b.name_full AS b_name_full FROM capped JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = cand_id", "capped", "norm"))
@@ -419,15 +419,15 @@ def _postal_flags(spark, d):
 
 
 def _similarity(key: str, kernel, oracle: str | None = None) -> None:
-    QUERIES[key] = lambda spark, d: _pairs(spark, d).select("s1_id", "cand_id", F.round(kernel("a_name_full", "b_name_full"), 6).alias("score"))
+    QUERIES[key] = lambda spark, d: _pairs(spark, d).repartition("s1_id", "cand_id").select("s1_id", "cand_id", F.round(kernel("a_name_full", "b_name_full"), 6).alias("score"))
     if oracle:
         SQL[key] = sql(f"SELECT s1_id, cand_id, round({oracle}, 6) AS score FROM capped JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = cand_id", "capped", "norm")
 
 
-_similarity("sim_ratio", similarity.ratio_of)
-_similarity("sim_token_set", similarity.token_set_ratio_of)
-_similarity("sim_partial", similarity.partial_ratio_of)
-_similarity("sim_jaro_winkler", similarity.jaro_winkler_of, "100 * jaro_winkler_similarity(a.name_full, b.name_full)")
+_similarity("sim_ratio", batches.ratio_of)
+_similarity("sim_token_set", batches.token_set_ratio_of)
+_similarity("sim_partial", batches.partial_ratio_of)
+_similarity("sim_jaro_winkler", batches.jaro_winkler_of, "100 * jaro_winkler_similarity(a.name_full, b.name_full)")
 
 
 def _features(spark, d):

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linkspark.functions import similarity, text, translit
+from linkspark.functions import batches, similarity, text, translit
 
 
 def values(spark, build, inputs):
@@ -121,3 +121,19 @@ def test_jaro_winkler_against_sql():
         want = con.execute("SELECT 100 * jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]
         assert similarity.jaro_winkler(a, b) == pytest.approx(want, abs=1e-6)
     assert difflib.SequenceMatcher(None, "a", "a").ratio() == 1
+
+
+def test_batches_follow_the_definitions():
+    rnd = random.Random(1)
+    sizes, pairs = [0, 1, 2, 3, 5, 10, 30, 60, 63, 64, 65, 70, 100], [("x" * 300, "xy" * 100), ("martha", "marhta"), (" ", "")]
+    for letters in ("ab ", "abcdefgh ", "aé漢🂡 "):
+        for _ in range(400):
+            a, b = ("".join(rnd.choice(letters) for _ in range(rnd.choice(sizes))) for _ in range(2))
+            if a and rnd.random() < 0.4:
+                b = a.replace(rnd.choice(a), "z", 1) + b[:5]
+            pairs += [(a, b), (b, a)]
+    for name, kernel in {"ratio": similarity.ratio, "set": similarity.token_set_ratio, "partial": similarity.partial_ratio, "jw": similarity.jaro_winkler}.items():
+        assert batches.KERNELS[name](pairs).tolist() == [kernel(a, b) for a, b in pairs]
+        assert batches.KERNELS[name]([]).tolist() == []
+    (both,) = batches.scores(["ratio"], ([None, "ab", "ab"], ["", "ab", "ax"]))
+    assert both[0].tolist() == [100.0, 100.0, 50.0]
