@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.operators.blocking import cap_candidates
+from linkspark.operators.blocking import all_blocks, cap_candidates
+from linkspark.operators.config import BlockingConfig
+from linkspark.sources.storage import written
 
 
 def f_beta(tp: Column, n_pred: Column, n_truth: Column, beta: float = 0.5) -> Column:
@@ -120,3 +124,20 @@ def cap_sweep(truth: DataFrame, scored: DataFrame, caps: list[int]) -> DataFrame
     total = truth.agg(F.count("*").alias("n_truth"))
     per = grid.groupBy("cap").agg(F.count("*").alias("n_pairs"), F.count("hit").alias("n_found")).join(F.broadcast(total))
     return per.select(F.col("cap").cast("long").alias("cap"), "n_pairs", "n_found", F.round(F.col("n_found").cast("double") / F.col("n_truth"), 6).alias("recall"))
+
+
+def relaxed_replay(truth: DataFrame, records: DataFrame, suffixes: DataFrame, configs: dict[str, BlockingConfig]) -> DataFrame:
+    """(config, block, n_pairs, n_found, n_recovered): what each block, and all of them, finds under each set of limits.
+
+    Recovered are true pairs that no block finds under the first set. Records are all there are, so places and counts are those of production.
+    """
+    missed, parts = None, []
+    for name, cfg in configs.items():
+        tagged = [pairs.select("s1_id", "cand_id", F.lit(block).alias("block")) for block, pairs in all_blocks(records, suffixes, cfg).items()]
+        found = written(reduce(DataFrame.unionByName, tagged).distinct(), "replay")
+        found = found.unionByName(found.select("s1_id", "cand_id", F.lit("all").alias("block")).distinct())
+        if missed is None:
+            missed = written(truth.select("s1_id", "cand_id").distinct().join(found.filter("block = 'all'"), ["s1_id", "cand_id"], "left").select("s1_id", "cand_id", F.col("block").isNull().alias("missed")), "missed")
+        joined = found.join(missed, ["s1_id", "cand_id"], "left")
+        parts.append(joined.groupBy("block").agg(F.count("*").alias("n_pairs"), F.count("missed").alias("n_found"), F.count(F.when(F.col("missed"), 1)).alias("n_recovered")).withColumn("config", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts).select("config", "block", "n_pairs", "n_found", "n_recovered")

@@ -10,6 +10,13 @@ from linkspark.functions.batches import pair_similarities
 
 #: The blocks whose finds are features.
 FLAGGED_BLOCKS = ("b1_exact_core", "b2_rare_token", "b3_postal_minor", "b_sorted_neighborhood", "bgeo_address_token")
+#: The columns that a model sees, 22 of a pair and three of its context.
+FEATURES = (
+    "name_full_ratio", "name_full_token_set_ratio", "name_full_partial_ratio", "name_full_jaro_winkler", "name_core_ratio", "name_core_token_set_ratio", "name_core_partial_ratio", "name_core_jaro_winkler",
+    "address_ratio", "address_token_set_ratio", "digit_jaccard", "name_full_len_diff", "postal_equal", "postal_conflict", "postal_missing", "n_blocks",
+    "block_b1_exact_core", "block_b2_rare_token", "block_b3_postal_minor", "block_b_sorted_neighborhood", "block_bgeo_address_token", "source_is_s2",
+    "rank_by_s1", "gap_to_best_by_s1", "reverse_rank",
+)
 RECORD_COLUMNS = ("name_full", "name_core", "business_address", "postal_code")
 
 

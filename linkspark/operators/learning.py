@@ -60,6 +60,17 @@ def normalized(records: DataFrame, suffixes: DataFrame, token_map: DataFrame | N
     return out.select("entity_id", "business_name", "business_address", "country", "name_full", "name_core", "postal_code", "house_number")
 
 
+def normalization_examples(records: DataFrame, suffixes: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
+    """(entity_id, country, raw, normalized_full, name_core, transliterated, normalized_after): ``n`` names of each country
+    by hash, and ``n`` of those in another script. The last two columns are null for names in Latin letters."""
+    indic = text.detect_script(F.col("business_name")).isNotNull()
+    order = Window.partitionBy("country", "_indic").orderBy(F.md5(F.concat("entity_id", F.lit(f":{seed}")).cast("binary")), "entity_id")
+    some = records.withColumn("_indic", indic).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).join(suffix_sets(suffixes), "country", "left")
+    some = some.withColumn("full", text.normalize_full(F.col("business_name"))).withColumn("latin", F.when(F.col("_indic"), translit.transliterate(F.col("business_name"))))
+    core = text.name_core(F.col("full"), F.col("suffixes"))
+    return some.select("entity_id", "country", F.col("business_name").alias("raw"), F.col("full").alias("normalized_full"), core.alias("name_core"), F.col("latin").alias("transliterated"), text.normalize_full(F.col("latin")).alias("normalized_after"))
+
+
 def attach_names(pairs: DataFrame, records: DataFrame, column: str = "business_name") -> DataFrame:
     """Pairs (s1_id, cand_id, ...) with name_a and name_b."""
     a = records.select(F.col("entity_id").alias("s1_id"), F.col(column).alias("name_a"))

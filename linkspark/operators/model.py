@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.operators.config import ModelConfig
+from linkspark.sources.storage import written
 
 
 def group_fold(group: Column, folds: int = 5, seed: int = 42) -> Column:
@@ -36,7 +37,8 @@ def positive(probability: Column) -> Column:
 
 def train_oof(df: DataFrame, columns: Sequence[str], cfg: ModelConfig = ModelConfig()) -> tuple[DataFrame, list[GBTClassificationModel]]:
     """Out-of-fold probabilities (s1_id, cand_id, label, proba), and the models; no model saw the record it scores."""
-    data = feature_matrix(df, columns).withColumn("fold", group_fold(F.col("s1_id"), cfg.folds, cfg.seed)).select("s1_id", "cand_id", "label", "features", "fold").persist()
+    data = feature_matrix(df, columns).withColumn("fold", group_fold(F.col("s1_id"), cfg.folds, cfg.seed)).select("s1_id", "cand_id", "label", "features", "fold")
+    data = written(data, "folds")
     models, scored = [], []
     for fold in range(cfg.folds):
         model = _classifier(cfg, fold).fit(data.filter(F.col("fold") != fold))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkspark.sources.storage import copy, write_text
+
 MATCH_HEADER = ("source1_entity_id", "matched_entity_ids")
 CANDIDATE_HEADER = ("source1_entity_id", "candidate_entity_ids")
 
@@ -33,15 +34,15 @@ def write_id_lists(pairs: DataFrame, required: DataFrame, header: tuple[str, str
 
 
 def validate_lines(lines: DataFrame, header: tuple[str, str], name: str, required: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(severity, check, n): what is wrong with an id-list file given as (line_no, value), line 0 the header.
+    """(severity, check, n): what is wrong with id-list files given as (line_no, value), line 0 of each the header.
 
     Checks: header (tabs, names in any case), rows without a tab, ids given twice, ids twice in a list, ids of the
     reference source in a list, ids of no known source, missing and extra ids; unknown ids only if ``known`` is given.
     Blank lines are passed over. A wrong header is fatal and hides the rest.
     """
-    # The header is one row; it goes along as a scalar so that no row count is taken on the driver.
-    head = lines.filter("line_no = 0").select(F.lower(F.trim("value")).alias("value"))
-    bad_header = head.agg(F.count(F.when(F.col("value") == "\t".join(header).lower(), 1)).alias("good")).select((F.col("good") == 0).alias("fatal"))
+    # The headers' verdict is one row, which goes along as a scalar so that no row count is taken on the driver.
+    head = lines.filter("line_no = 0").select((F.lower(F.trim("value")) == "\t".join(header).lower()).alias("good"))
+    bad_header = head.agg((F.count(F.when(F.col("good"), 1)) == 0).alias("none"), (F.count(F.when(~F.col("good"), 1)) > 0).alias("some")).select((F.col("none") | F.col("some")).alias("fatal"))
     rows = lines.filter("line_no > 0").filter(F.trim("value") != "").join(F.broadcast(bad_header)).filter("not fatal").drop("fatal")
     cells = rows.select("line_no", F.instr("value", "\t").alias("tab"), F.split("value", "\t", 2).alias("cell"))
     good = cells.filter("tab > 0").select("line_no", F.get("cell", F.lit(0)).alias("id"), F.filter(F.split(F.get("cell", F.lit(1)), ","), lambda x: x != "").alias("ids"))
@@ -76,26 +77,25 @@ def _issue(rows: DataFrame, severity: str, check: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of one text file, numbered by its lines; files are read whole, line by line."""
-    lines = spark.read.text(path, lineSep="\n").withColumn("_at", F.monotonically_increasing_id())
-    first = lines.agg(F.min("_at").alias("_first"))
-    return lines.join(F.broadcast(first)).select((F.col("_at") - F.col("_first")).alias("line_no"), "value")
+    """(file, line_no, value) of the lines of a text file or of a folder's part files; a file's first line is 0.
+
+    Lines of a small file are numbered on; those of a file that is read in several parts have any numbers above 0.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    first = lines.filter("_block = 0").groupBy("file").agg(F.min("_at").alias("_first"))
+    number = F.when(F.col("_block") == 0, F.col("_at") - F.col("_first")).otherwise(F.col("_at") + 1)
+    return lines.join(F.broadcast(first), "file").select("file", number.cast("long").alias("line_no"), "value")
 
 
-def write_report(report: dict, path: str | Path) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A small report as JSON, in any file system that Spark knows."""
+    write_text(spark, json.dumps(report, ensure_ascii=False, indent=2, default=str), path)
 
 
 def archive(spark: SparkSession, paths: Iterable[str], report: dict, root: str, stamp: str) -> str:
     """Copies finished outputs and their report to a folder of their own below ``root``."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to = f"{root}/{stamp}"
     for path in paths:
-        a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{to}/{path.rstrip('/').rpartition('/')[2]}")
-        jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
-    out = jvm.org.apache.hadoop.fs.Path(f"{to}/report.json")
-    stream = out.getFileSystem(conf).create(out, True)
-    stream.write(bytearray(json.dumps(report, default=str).encode()))
-    stream.close()
+        copy(spark, path, f"{to}/{path.rstrip('/').rpartition('/')[2]}")
+    write_report(spark, report, f"{to}/report.json")
     return to

@@ -1,9 +1,11 @@
 """The stages end to end on a small made-up set of files."""
 
 import random
+import shutil
 
 from linkspark.operators.config import BlockingConfig, ModelConfig
-from linkspark.plans.linkage import Linkage
+from linkspark.plans.linkage import Linkage, parse
+from linkspark.sources import sinks
 
 
 def write_files(root):
@@ -39,3 +41,51 @@ def test_linkage(spark, tmp_path):
     before = (tmp_path / "work" / "test_features" / "_SUCCESS").stat().st_mtime
     run.features("test")
     assert (tmp_path / "work" / "test_features" / "_SUCCESS").stat().st_mtime == before
+
+
+def test_stages_by_settings_and_mirror(spark, tmp_path):
+    write_files(tmp_path)
+    small = ModelConfig(folds=2, iterations=2, depth=2, min_instances=2)
+
+    def job(**more):
+        return Linkage(spark, f"file://{tmp_path}", f"file://{tmp_path}/work", f"file://{tmp_path}/out", model=small, mirror=f"file://{tmp_path}/mirror", val_target=20, skip_train=True, **more)
+
+    few = BlockingConfig(per_block_cap=1, candidates_cap=1)
+    run = job(blocking=few)
+    assert run.run("val_slice").filter("is_eval").count() > 0
+    assert {r.scope for r in run.run("val_blocking").collect()} == {"all", "country", "source"}
+    assert run.run("report").count() > 0 and run.run("examples").count() > 0
+    first = run.run("predict").count()
+    assert not (tmp_path / "work" / "train_oof").exists() and run.candidates("test").count() <= 60
+    shutil.rmtree(tmp_path / "work")
+    again = job(blocking=few)
+    assert again.run("predict").count() == first
+    assert (tmp_path / "work" / "predictions").exists() and not (tmp_path / "work" / "test_features").exists()
+    assert len(again.models()) == 2
+    assert job(blocking=BlockingConfig(per_block_cap=2, candidates_cap=5)).candidates("test").count() > 60
+
+
+def test_written_files_are_what_is_validated(spark, tmp_path):
+    write_files(tmp_path)
+    run = Linkage(spark, f"file://{tmp_path}", f"file://{tmp_path}/work", f"file://{tmp_path}/out", BlockingConfig(), ModelConfig(folds=2, iterations=2, depth=2, min_instances=2))
+    assert run.run("write").collect() == []
+    path = f"file://{tmp_path}/out/matching_results"
+
+    def issues():
+        lines = sinks.read_lines(spark, path)
+        return {r.check: r.n for r in sinks.validate_lines(lines, sinks.MATCH_HEADER, "m", run.required()).collect()}
+
+    assert issues() == {}
+    part = next(p for p in sorted((tmp_path / "out" / "matching_results").glob("part-*")) if len(p.read_text().splitlines()) > 2)
+    good = part.read_text()
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    row = good.splitlines()[1]
+    for text, found in ((good + row + "\n", {"duplicate row": 1}), (good + "no tab\n", {"row without tab": 1}), (good.replace("\t", ",", 1), {"header": 1}), (good.replace(row + "\n", ""), {"missing id": 1})):
+        part.write_text(text)
+        assert issues() == found
+
+
+def test_command_line():
+    args = parse(["--data", "a", "--work", "b", "--out", "c", "--no-grams", "--val-target", "7", "--skip-train", "--conf", "spark.x=1"])
+    assert (args.no_grams, args.val_target, args.skip_train, args.conf, args.per_block_cap, args.stage) == (True, 7, True, ["spark.x=1"], 20, "all")

@@ -270,7 +270,7 @@ def test_match_warning_and_lines(spark, tmp_path):
     a = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2")], PAIRS)
     assert [r.n for r in sinks.matches_outside_candidates(a, a.limit(1)).collect()] == [1]
     (tmp_path / "f.tsv").write_text("h\nx\n\ny\n")
-    assert [tuple(r) for r in sinks.read_lines(spark, str(tmp_path / "f.tsv")).orderBy("line_no").collect()] == [(0, "h"), (1, "x"), (2, ""), (3, "y")]
+    assert [tuple(r)[1:] for r in sinks.read_lines(spark, str(tmp_path / "f.tsv")).orderBy("line_no").collect()] == [(0, "h"), (1, "x"), (2, ""), (3, "y")]
 
 
 def test_stage_runs_once(spark, tmp_path):
@@ -285,4 +285,5 @@ def test_stage_runs_once(spark, tmp_path):
     assert made == [1]
     to = sinks.archive(spark, [path], {"f": 1}, f"file://{tmp_path}/archive", "stamp")
     assert spark.read.parquet(f"{to}/stage").count() == 3
-    sinks.write_report({"x": 1}, tmp_path / "r" / "report.json")
+    sinks.write_report(spark, {"x": 1}, f"file://{tmp_path}/r/report.json")
+    assert storage.read_text(spark, f"file://{tmp_path}/r/report.json") == '{\n  "x": 1\n}'
