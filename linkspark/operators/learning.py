@@ -68,7 +68,7 @@ def normalization_examples(records: DataFrame, suffixes: DataFrame, n: int = 5,
     some = records.withColumn("_indic", indic).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).join(suffix_sets(suffixes), "country", "left")
     some = some.withColumn("full", text.normalize_full(F.col("business_name"))).withColumn("latin", F.when(F.col("_indic"), translit.transliterate(F.col("business_name"))))
     core = text.name_core(F.col("full"), F.col("suffixes"))
-    return some.select("entity_id", "country", F.col("business_name").alias("raw"), F.col("full").alias("normalized_full"), core.alias("name_core"), F.col("latin").alias("transliterated"), text.normalize_full(F.col("latin")).alias("normalized_after"))
+    return some.select("entity_id", "country", F.col("business_name").alias("raw"), F.col("full").alias("normalized_full"), core.alias("name_core"), F.col("latin").alias("transliterated"), F.when(F.col("latin").isNotNull(), text.normalize_full(F.col("latin"))).alias("normalized_after"))
 
 
 def attach_names(pairs: DataFrame, records: DataFrame, column: str = "business_name") -> DataFrame:

@@ -6,6 +6,7 @@ Each query is registered under a key; the SQL puts together the same named steps
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,23 +67,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
       SELECT a.entity_id, a.country, a.token, d.df FROM address_tokens a JOIN (SELECT left(entity_id, 2) = 'S1' AS ref, country, token, count(*) AS df FROM address_tokens GROUP BY ALL) d
       ON a.country = d.country AND a.token = d.token AND d.ref = (left(a.entity_id, 2) = 'S1') WHERE d.df >= 3)
       QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY df, token) = 1"""),
-    "b1": (("s1", "cand"), _top("SELECT s.entity_id AS s1_id, c.entity_id AS cand_id FROM s1 s JOIN cand c USING (country, name_core) WHERE name_core <> ''", "cand_id", 20)),
-    "rare_scores": (("tokens", "cand_df", "suffixes"), """SELECT s.entity_id AS s1_id, c.entity_id AS cand_id, round(sum(1.0::DOUBLE / d.df), 9) AS score
-      FROM tokens s JOIN cand_df d ON d.country = s.country AND d.token = s.token AND d.df <= 2000 JOIN tokens c ON c.country = s.country AND c.token = s.token
-      WHERE s.entity_id LIKE 'S1-%' AND c.entity_id NOT LIKE 'S1-%' AND NOT EXISTS (SELECT 1 FROM suffixes f WHERE f.country = s.country AND f.token = s.token) GROUP BY ALL"""),
-    "b2": (("rare_scores",), _top("SELECT * FROM rare_scores", "score DESC, cand_id", 20)),
-    "b3": (("s1", "cand", "tokens"), _top("""SELECT s.entity_id AS s1_id, c.entity_id AS cand_id FROM s1 s JOIN cand c ON s.country = c.country AND s.postal_code = c.postal_code
-      JOIN tokens st ON st.entity_id = s.entity_id JOIN tokens ct ON ct.entity_id = c.entity_id AND ct.country = st.country AND ct.token = st.token""", "cand_id", 20)),
     "placed": (("norm",), "SELECT entity_id, country, left(entity_id, 2) = 'S1' AS ref, row_number() OVER (PARTITION BY country ORDER BY name_core, entity_id) AS pos FROM norm"),
-    "b4": (("placed",), _top("SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, abs(a.pos - b.pos) AS dist FROM placed a JOIN placed b ON a.country = b.country AND b.pos BETWEEN a.pos - 10 AND a.pos + 10 WHERE a.ref AND NOT b.ref", "dist, cand_id", 20)),
-    "b5": (("geo",), _top("SELECT s.entity_id AS s1_id, c.entity_id AS cand_id FROM geo s JOIN geo c ON s.country = c.country AND s.geo_token = c.geo_token AND c.geo_df <= 3000 WHERE s.entity_id LIKE 'S1-%' AND c.entity_id NOT LIKE 'S1-%'", "cand_id", 20)),
-    "b6": (("norm", "address_tokens", "cand_address_df"), _top("""SELECT s1_id, cand_id, round(score + CASE WHEN s.house_number = c.house_number THEN 2.0 ELSE 0.0 END, 9) AS score FROM (
-      SELECT s.entity_id AS s1_id, c.entity_id AS cand_id, round(sum(1.0::DOUBLE / d.df), 9) AS score FROM address_tokens s JOIN cand_address_df d ON d.country = s.country AND d.token = s.token AND d.df BETWEEN 3 AND 500
-      JOIN address_tokens c ON c.country = s.country AND c.token = s.token WHERE s.entity_id LIKE 'S1-%' AND c.entity_id NOT LIKE 'S1-%' GROUP BY ALL) p
-      JOIN norm s ON s.entity_id = p.s1_id JOIN norm c ON c.entity_id = p.cand_id""", "score DESC, cand_id", 20)),
-    "tagged": (("b1", "b2", "b3", "b4", "b5", "b6"), " UNION ALL ".join(f"SELECT s1_id, cand_id, '{name}' AS block FROM {b}" for name, b in zip(("b1_exact_core", "b2_rare_token", "b3_postal_minor", "b_sorted_neighborhood", "bgeo_address_token", "b_address_rare_tokens"), ("b1", "b2", "b3", "b4", "b5", "b6"), strict=True))),
-    "scored": (("tagged",), "SELECT s1_id, cand_id, string_agg(DISTINCT block, ',' ORDER BY block) AS blocks, count(DISTINCT block) AS n_blocks FROM tagged GROUP BY ALL"),
-    "capped": (("scored",), "SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY n_blocks DESC, cand_id) AS rank FROM scored QUALIFY rank <= 75"),
     "proba": (("capped",), "SELECT s1_id, cand_id, round((n_blocks + ('0x' || substr(md5(s1_id || cand_id), 1, 4))::BIGINT / 65536.0::DOUBLE) / 8.0::DOUBLE, 6) AS proba FROM capped"),
     "single": (("proba",), "SELECT * FROM proba QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY proba DESC, s1_id) = 1"),
     "subset": (("single",), """SELECT s1_id, cand_id FROM (SELECT *, max(f) OVER w AS best FROM (
@@ -98,6 +83,36 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
       ELSE 1.25 * (tp::DOUBLE / n_pred) * (tp::DOUBLE / n_truth) / (0.25 * (tp::DOUBLE / n_pred) + tp::DOUBLE / n_truth) END::DOUBLE AS f FROM counts"""),
 }
 
+_BLOCK_NAMES = ("b1_exact_core", "b2_rare_token", "b3_postal_minor", "b_sorted_neighborhood", "bgeo_address_token", "b_address_rare_tokens")
+
+
+def _block_steps(cap: int, name_df: int, window: int, tag: str = "") -> dict[str, tuple[tuple[str, ...], str]]:
+    """The blocks under some limits, and their pairs with each block's name."""
+    steps = {
+        "b1": (("s1", "cand"), _top("SELECT s.entity_id AS s1_id, c.entity_id AS cand_id FROM s1 s JOIN cand c USING (country, name_core) WHERE name_core <> ''", "cand_id", cap)),
+        "rare_scores": (("tokens", "cand_df", "suffixes"), f"""SELECT s.entity_id AS s1_id, c.entity_id AS cand_id, round(sum(1.0::DOUBLE / d.df), 9) AS score
+          FROM tokens s JOIN cand_df d ON d.country = s.country AND d.token = s.token AND d.df <= {name_df} JOIN tokens c ON c.country = s.country AND c.token = s.token
+          WHERE s.entity_id LIKE 'S1-%' AND c.entity_id NOT LIKE 'S1-%' AND NOT EXISTS (SELECT 1 FROM suffixes f WHERE f.country = s.country AND f.token = s.token) GROUP BY ALL"""),
+        "b2": ((f"rare_scores{tag}",), _top(f"SELECT * FROM rare_scores{tag}", "score DESC, cand_id", cap)),
+        "b3": (("s1", "cand", "tokens"), _top("""SELECT s.entity_id AS s1_id, c.entity_id AS cand_id FROM s1 s JOIN cand c ON s.country = c.country AND s.postal_code = c.postal_code
+          JOIN tokens st ON st.entity_id = s.entity_id JOIN tokens ct ON ct.entity_id = c.entity_id AND ct.country = st.country AND ct.token = st.token""", "cand_id", cap)),
+        "b4": (("placed",), _top(f"SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, abs(a.pos - b.pos) AS dist FROM placed a JOIN placed b ON a.country = b.country AND b.pos BETWEEN a.pos - {window} AND a.pos + {window} WHERE a.ref AND NOT b.ref", "dist, cand_id", cap)),
+        "b5": (("geo",), _top("SELECT s.entity_id AS s1_id, c.entity_id AS cand_id FROM geo s JOIN geo c ON s.country = c.country AND s.geo_token = c.geo_token AND c.geo_df <= 3000 WHERE s.entity_id LIKE 'S1-%' AND c.entity_id NOT LIKE 'S1-%'", "cand_id", cap)),
+        "b6": (("norm", "address_tokens", "cand_address_df"), _top("""SELECT s1_id, cand_id, round(score + CASE WHEN s.house_number = c.house_number THEN 2.0 ELSE 0.0 END, 9) AS score FROM (
+          SELECT s.entity_id AS s1_id, c.entity_id AS cand_id, round(sum(1.0::DOUBLE / d.df), 9) AS score FROM address_tokens s JOIN cand_address_df d ON d.country = s.country AND d.token = s.token AND d.df BETWEEN 3 AND 500
+          JOIN address_tokens c ON c.country = s.country AND c.token = s.token WHERE s.entity_id LIKE 'S1-%' AND c.entity_id NOT LIKE 'S1-%' GROUP BY ALL) p
+          JOIN norm s ON s.entity_id = p.s1_id JOIN norm c ON c.entity_id = p.cand_id""", "score DESC, cand_id", cap)),
+    }
+    out = {f"{name}{tag}": step for name, step in steps.items()}
+    blocks = [f"b{k}{tag}" for k in range(1, 7)]
+    out[f"tagged{tag}"] = (tuple(blocks), " UNION ALL ".join(f"SELECT s1_id, cand_id, '{name}' AS block FROM {b}" for name, b in zip(_BLOCK_NAMES, blocks, strict=True)))
+    return out
+
+
+STEPS |= _block_steps(20, 2000, 10)
+STEPS["scored"] = (("tagged",), "SELECT s1_id, cand_id, string_agg(DISTINCT block, ',' ORDER BY block) AS blocks, count(DISTINCT block) AS n_blocks FROM tagged GROUP BY ALL")
+STEPS["capped"] = (("scored",), "SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY n_blocks DESC, cand_id) AS rank FROM scored QUALIFY rank <= 75")
+
 
 def sql(body: str, *steps: str) -> str:
     """``body`` after the steps it names and all they need."""
@@ -193,15 +208,47 @@ def _named(key: str, build, expression: str | None = None) -> None:
         SQL[key] = sql(f"SELECT entity_id, {expression} AS value FROM records", "records")
 
 
+#: A name in each of the nine scripts, Latin ones, an empty one and none, and pairs of them.
+_SCRIPTED = (
+    ("S1-a", "Ram Marketing Private Limited"), ("S2-a", "राम मार्केटिंग प्राइवेट लिमिटेड"), ("S1-b", "Laxmi Traders"), ("S2-b", "লক্ষ্মী ট্রেডার্স"), ("S3-b", "ਲਕਸ਼ਮੀ ਟਰੇਡਰਜ਼"), ("S1-c", "Shakti Udyog"), ("S2-c", "શક્તિ ઉદ્યોગ"),
+    ("S3-c", "ଶକ୍ତି ଉଦ୍ୟୋଗ"), ("S1-d", "Murugan Stores"), ("S2-d", "முருகன் ஸ்டோர்ஸ்"), ("S3-d", "మురుగన్ స్టోర్స్"), ("S1-e", "Kaveri Mills"), ("S2-e", "ಕಾವೇರಿ ಮಿಲ್ಸ್"), ("S3-e", "കാവേരി മിൽസ്"),
+    ("S3-a", "Ram मार्केटिंग"), ("S1-f", "शक्ति"), ("S2-f", "शक्ति Udyog"), ("S1-g", ""), ("S2-g", None),
+)
+_SCRIPTED_PAIRS = (("S1-a", "S2-a"), ("S1-a", "S3-a"), ("S1-b", "S2-b"), ("S1-c", "S2-c"), ("S1-f", "S2-f"), ("S1-g", "S2-g"))
+STEPS["scripted"] = ((), "SELECT * FROM (VALUES " + ", ".join(f"('{i}', " + ("NULL" if n is None else f"'{n}'") + ")" for i, n in _SCRIPTED) + ") v(entity_id, business_name)")
+STEPS["all_names"] = (("records", "scripted"), "SELECT entity_id, business_name FROM records UNION ALL SELECT * FROM scripted")
+STEPS["all_pairs"] = (("truth",), "SELECT s1_id, cand_id FROM truth UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SCRIPTED_PAIRS) + ") v(s1_id, cand_id)")
+
+
+def all_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names of all records, and some in other scripts, of which documents have none."""
+    return raw(spark, d).select("entity_id", "business_name").unionByName(spark.createDataFrame(_SCRIPTED, "entity_id string, business_name string"))
+
+
+def all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return truth(spark, d).select("s1_id", "cand_id").unionByName(spark.createDataFrame(_SCRIPTED_PAIRS, "s1_id string, cand_id string"))
+
+
+def _scripted(key: str, build, expression: str | None = None) -> None:
+    """A column function over the names in all scripts, and its SQL if it has one."""
+    QUERIES[key] = lambda spark, d: all_names(spark, d).select("entity_id", build(F.col("business_name")).alias("value"))
+    if expression is not None:
+        SQL[key] = sql(f"SELECT entity_id, {expression} AS value FROM all_names", "all_names")
+
+
 _named("strip_accents", text.strip_accents, "strip_accents(business_name)")
 _named("basic_clean", text.basic_clean, _CLEAN.format("business_name"))
 _named("expand_abbrev", lambda c: text.expand_abbreviations(text.basic_clean(c)), _expand(_CLEAN.format("business_name")))
 _named("normalize_full", text.normalize_full, _expand(_CLEAN.format("business_name")))
-_named("script_flag", text.has_devanagari, "regexp_matches(business_name, '[ऀ-ॿ]')")
-_named("detect_script", text.detect_script, "CASE " + " ".join(f"WHEN regexp_matches(business_name, '{text.script_class(n)}') THEN '{n}'" for n in text.SCRIPTS) + " END")
+_scripted("script_flag", text.has_devanagari, "coalesce(regexp_matches(business_name, '[\\x{0900}-\\x{097F}]'), false)")
+_scripted("detect_script", text.detect_script, """CASE WHEN regexp_matches(business_name, '[\\x{0980}-\\x{09FF}]') THEN 'BENGALI' WHEN regexp_matches(business_name, '[\\x{0900}-\\x{097F}]') THEN 'DEVANAGARI'
+  WHEN regexp_matches(business_name, '[\\x{0A80}-\\x{0AFF}]') THEN 'GUJARATI' WHEN regexp_matches(business_name, '[\\x{0A00}-\\x{0A7F}]') THEN 'GURMUKHI' WHEN regexp_matches(business_name, '[\\x{0C80}-\\x{0CFF}]') THEN 'KANNADA'
+  WHEN regexp_matches(business_name, '[\\x{0D00}-\\x{0D7F}]') THEN 'MALAYALAM' WHEN regexp_matches(business_name, '[\\x{0B00}-\\x{0B7F}]') THEN 'ORIYA' WHEN regexp_matches(business_name, '[\\x{0B80}-\\x{0BFF}]') THEN 'TAMIL'
+  WHEN regexp_matches(business_name, '[\\x{0C00}-\\x{0C7F}]') THEN 'TELUGU' END""")
+_scripted("has_indic_script", lambda c: text.detect_script(c).isNotNull(), "coalesce(regexp_matches(business_name, '[\\x{0900}-\\x{0D7F}]'), false)")
 _named("schwa_delete", text.schwa_delete, "array_to_string(list_transform(string_split(business_name, ' '), lambda t: CASE WHEN length(t) > 2 AND ends_with(t, 'a') AND NOT regexp_matches(substr(t, -2, 1), '[aeiouAEIOU]') THEN left(t, length(t) - 1) ELSE t END), ' ')")
 _named("regex_clean", lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), "regexp_replace(lower(business_name), '[^a-z0-9]+', ' ', 'g')")
-_named("transliterate", translit.transliterate)
+_scripted("transliterate", translit.transliterate)
 
 
 @query("name_core", sql("SELECT entity_id, name_core FROM norm", "norm"))
@@ -288,9 +335,19 @@ def _rarity(spark, d):
     return blocking.rarity_scores(a, b, counts).select("s1_id", "cand_id", F.round("score", 6).alias("score"))
 
 
-@query("script_mismatch", sql("SELECT count(*) AS n_pairs, 0::BIGINT AS n_a, 0::BIGINT AS n_b, 0::BIGINT AS n_mismatch FROM truth", "truth"))
+@query("script_mismatch", sql("""SELECT count(*) AS n_pairs, count(*) FILTER (x) AS n_a, count(*) FILTER (y) AS n_b, count(*) FILTER (x <> y) AS n_mismatch FROM (
+  SELECT coalesce(regexp_matches(a.business_name, '[\\x{0900}-\\x{097F}]'), false) AS x, coalesce(regexp_matches(b.business_name, '[\\x{0900}-\\x{097F}]'), false) AS y
+  FROM all_pairs JOIN all_names a ON a.entity_id = s1_id JOIN all_names b ON b.entity_id = cand_id)""", "all_pairs", "all_names"))
 def _script_mismatch(spark, d):
-    return learning.script_mismatch(truth(spark, d), raw(spark, d))
+    return learning.script_mismatch(all_pairs(spark, d), all_names(spark, d))
+
+
+@query("overlap_stages", "SELECT * FROM (VALUES ('none', 4::BIGINT, 1::BIGINT), ('schwa', 4, 2), ('map', 4, 3)) v(stage, n_pairs, n_overlap)")
+def _overlap_stages(spark, d):
+    """What romanisation, and a token map on top of it, add to the shared tokens of four pairs of names, counted by hand."""
+    pairs = [("राम", "rama"), ("लिमिटेड", "limited"), ("प्राइवेट", "private"), ("राम ltd", "ltd")]
+    token_map = spark.createDataFrame([("praiveta", "private"), ("praivet", "private"), ("prAiveT", "private")], "translit_token string, latin_token string")
+    return learning.overlap_stages(spark.createDataFrame(pairs, "native string, other string"), token_map)
 
 
 @query("token_overlap", sql("""SELECT count(*) AS n_pairs, count(*) FILTER (len(list_intersect(list_filter(string_split(a.name_full, ' '), lambda t: t <> ''), list_filter(string_split(b.name_full, ' '), lambda t: t <> ''))) > 0) AS n_overlap
@@ -384,12 +441,20 @@ def _block_flags(spark, d):
     return _cast_floats(capped(spark, d).select("s1_id", "cand_id", *features.block_flags(F.col("blocks"))))
 
 
-@query("config_sweep", sql("""SELECT 'name_df_5' AS config, count(*) AS n_pairs FROM (""" + _top("SELECT s.entity_id AS s1_id, c.entity_id AS cand_id, round(sum(1.0::DOUBLE / d.df), 9) AS score FROM tokens s JOIN cand_df d ON d.country = s.country AND d.token = s.token AND d.df <= 5 JOIN tokens c ON c.country = s.country AND c.token = s.token WHERE s.entity_id LIKE 'S1-%' AND c.entity_id NOT LIKE 'S1-%' AND NOT EXISTS (SELECT 1 FROM suffixes f WHERE f.country = s.country AND f.token = s.token) GROUP BY ALL", "score DESC, cand_id", 20) + ") UNION ALL SELECT 'name_df_2000', count(*) FROM b2", "b2"))
+#: Limits in growing order: cap of a block, df of a name token, places to either side.
+RELAXED = {"current": (20, 2000, 10), "cap200": (200, 2000, 10), "cap2000": (2000, 2000, 10), "cap2000_nodf": (2000, 10_000_000, 10), "cap2000_nodf_window50": (2000, 10_000_000, 50)}
+for _k, _limits in enumerate(RELAXED.values()):
+    STEPS |= _block_steps(*_limits, f"_{_k}")
+STEPS["replayed"] = (tuple(f"tagged_{k}" for k in range(len(RELAXED))), " UNION ".join(f"SELECT '{name}' AS config, s1_id, cand_id, block FROM tagged_{k}" for k, name in enumerate(RELAXED)))
+
+
+@query("config_sweep", sql("""SELECT config, block, count(*) AS n_pairs, count(missed) AS n_found, count(*) FILTER (missed) AS n_recovered FROM (
+  SELECT * FROM replayed UNION ALL SELECT DISTINCT config, s1_id, cand_id, 'all' FROM replayed) LEFT JOIN (
+  SELECT DISTINCT t.s1_id, t.cand_id, NOT EXISTS (SELECT 1 FROM replayed r WHERE r.config = 'current' AND r.s1_id = t.s1_id AND r.cand_id = t.cand_id) AS missed FROM truth t) USING (s1_id, cand_id) GROUP BY ALL""", "replayed", "truth"))
 def _config_sweep(spark, d):
-    s1, cand = sides(spark, d)
-    a, b, s = blocking.name_tokens(s1), blocking.name_tokens(cand), suffixes(spark, d)
-    parts = [blocking.block_rare_token(a, b, s, BlockingConfig(max_name_token_df=n)).agg(F.count("*").alias("n_pairs")).select(F.lit(f"name_df_{n}").alias("config"), "n_pairs") for n in (5, 2000)]
-    return parts[0].unionByName(parts[1])
+    s = written(suffixes(spark, d), "suffixes")
+    configs = {name: BlockingConfig(per_block_cap=cap, max_name_token_df=df, window=window) for name, (cap, df, window) in RELAXED.items()}
+    return evaluate.relaxed_replay(truth(spark, d), written(learning.normalized(raw(spark, d), s), "norm"), s, configs)
 
 
 # ---- features, labels, model
@@ -465,14 +530,14 @@ def _kfold(spark, d):
     return ids(spark, d).select("s1_id", model.group_fold(F.col("s1_id")).alias("fold"))
 
 
-#: Few and shallow trees, so that the query ends soon; ModelConfig has the settings for real training.
-_SMALL_MODEL = ModelConfig(folds=2, iterations=3, depth=3, min_instances=5)
-_MODEL_COLUMNS = ("name_full_ratio", "name_core_ratio", "address_ratio", "digit_jaccard", "n_blocks", "name_full_len_diff")
+#: The settings of ModelConfig but for the number of trees, 300 there: with those a query of the smallest tables takes some six minutes.
+_MODEL = ModelConfig(iterations=20)
 
 
 def _trained(spark, d):
-    data = features.label_pairs(written(_features(spark, d), "features"), truth(spark, d)).withColumn("label", F.col("label").cast("double"))
-    return data, *model.train_oof(data, _MODEL_COLUMNS, _SMALL_MODEL)
+    built = features.context_features(written(_features(spark, d), "features"))
+    data = features.label_pairs(built, truth(spark, d)).withColumn("label", F.col("label").cast("double"))
+    return data, *model.train_oof(data, features.FEATURES, _MODEL)
 
 
 @query("oof_scores")
@@ -483,7 +548,20 @@ def _oof(spark, d):
 @query("ensemble_predict")
 def _ensemble(spark, d):
     data, _, models = _trained(spark, d)
-    return _cast_floats(model.predict(models, data, _MODEL_COLUMNS))
+    return _cast_floats(model.predict(models, data, features.FEATURES))
+
+
+@query("feature_importance")
+def _importance(spark, d):
+    _, _, models = _trained(spark, d)
+    return spark.createDataFrame(model.importance(models, features.FEATURES), "feature string, importance double")
+
+
+@query("linked")
+def _linked(spark, d):
+    """From candidates over features and out-of-fold models to the decision."""
+    _, found, _ = _trained(spark, d)
+    return decide.decide(written(found.select("s1_id", "cand_id", "proba"), "proba"), ids(spark, d), truth(spark, d))
 
 
 # ---- decision
@@ -548,7 +626,7 @@ def _recall(spark, d):
     return evaluate.blocking_recall(truth(spark, d), capped(spark, d))
 
 
-_NAMES = ["b1_exact_core", "b2_rare_token", "b3_postal_minor", "b_sorted_neighborhood", "bgeo_address_token", "b_address_rare_tokens"]
+_NAMES = list(_BLOCK_NAMES)
 
 
 @query("block_marginal", sql("SELECT block, count(*) FILTER (list_contains(string_split(blocks, ','), block)) AS n_alone, count(*) FILTER (blocks IS NOT NULL AND blocks <> block) AS n_without, count(blocks) AS n_found FROM (SELECT truth.*, blocks FROM truth LEFT JOIN scored USING (s1_id, cand_id)), (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS block) GROUP BY block", "truth", "scored"))
@@ -596,30 +674,39 @@ def _greedy(spark, d):
     return slices.greedy_buckets(blocking.geo_tokens(s1), s1.groupBy("country").agg(F.count("*").alias("n_country")), 60)
 
 
-_POOL = "SELECT DISTINCT entity_id AS cand_id FROM address_tokens a WHERE entity_id NOT LIKE 'S1-%' AND EXISTS (SELECT 1 FROM geo g WHERE g.entity_id LIKE 'S1-%' AND right(g.entity_id, 1) IN ('0', '3') AND g.country = a.country AND g.geo_token = a.token)"
+STEPS["evaluated"] = (("geo", "s1"), f"SELECT g.entity_id AS s1_id FROM geo g JOIN ({_GREEDY}) USING (country, geo_token) WHERE g.entity_id LIKE 'S1-%'")
+STEPS["pool"] = (("address_tokens", "geo", "evaluated"), "SELECT DISTINCT entity_id AS cand_id FROM address_tokens a WHERE entity_id NOT LIKE 'S1-%' AND EXISTS (SELECT 1 FROM geo g JOIN evaluated e ON e.s1_id = g.entity_id WHERE g.country = a.country AND g.geo_token = a.token)")
+
+
+def _evaluated_ids(spark, d, geo):
+    s1, _ = blocking.split_sources(norm(spark, d))
+    buckets = slices.greedy_buckets(geo, s1.groupBy("country").agg(F.count("*").alias("n_country")), 60)
+    return geo.join(buckets, ["country", "geo_token"], "left_semi").select(F.col("entity_id").alias("s1_id"))
 
 
 def _pool(spark, d):
     s1, cand = sides(spark, d)
-    some = s1.select(F.col("entity_id").alias("s1_id")).filter(F.substring("s1_id", -1, 1).isin("0", "3"))
-    return slices.geo_pool(blocking.geo_tokens(s1), blocking.address_tokens(cand), some)
+    geo = written(blocking.geo_tokens(s1), "geo")
+    some = written(_evaluated_ids(spark, d, geo), "evaluated")
+    return slices.geo_pool(geo, blocking.address_tokens(cand), some), some
 
 
-@query("geo_pool", sql(_POOL, "address_tokens", "geo"))
+@query("geo_pool", sql("SELECT * FROM pool", "pool"))
 def _geo_pool(spark, d):
-    return _pool(spark, d)
+    return _pool(spark, d)[0]
 
 
-@query("owners_of", sql("SELECT DISTINCT s1_id FROM truth WHERE cand_id LIKE 'S2-%' AND s1_id NOT IN (SELECT s1_id FROM truth WHERE right(s1_id, 1) = '0')", "truth"))
+@query("owners_of", sql("SELECT DISTINCT s1_id FROM truth WHERE cand_id IN (SELECT entity_id FROM cand WHERE entity_id LIKE 'S2-%') AND s1_id NOT IN (SELECT s1_id FROM evaluated)", "truth", "cand", "evaluated"))
 def _owners(spark, d):
-    t = truth(spark, d)
-    return slices.owners_of(t, t.filter(F.col("cand_id").startswith("S2-")).select("cand_id").distinct(), t.filter(F.col("s1_id").endswith("0")).select("s1_id"))
+    s1, cand = sides(spark, d)
+    second = cand.filter(F.col("entity_id").startswith("S2-")).select(F.col("entity_id").alias("cand_id"))
+    return slices.owners_of(truth(spark, d), second, _evaluated_ids(spark, d, blocking.geo_tokens(s1)))
 
 
-@query("decoy_rate", sql("SELECT n_pool, n_owned, n_own, round(1 - n_own::DOUBLE / n_pool, 6) AS naive, round(1 - n_owned::DOUBLE / n_pool, 6) AS effective FROM (SELECT count(*) AS n_pool, count(*) FILTER (cand_id IN (SELECT cand_id FROM truth)) AS n_owned, count(*) FILTER (cand_id IN (SELECT cand_id FROM truth WHERE right(s1_id, 1) = '0')) AS n_own FROM (" + _POOL + "))", "address_tokens", "geo", "truth"))
+@query("decoy_rate", sql("SELECT n_pool, n_owned, n_own, round(1 - n_own::DOUBLE / n_pool, 6) AS naive, round(1 - n_owned::DOUBLE / n_pool, 6) AS effective FROM (SELECT count(*) AS n_pool, count(*) FILTER (cand_id IN (SELECT cand_id FROM truth)) AS n_owned, count(*) FILTER (cand_id IN (SELECT cand_id FROM truth WHERE s1_id IN (SELECT s1_id FROM evaluated))) AS n_own FROM pool)", "pool", "truth", "evaluated"))
 def _decoys(spark, d):
-    t = truth(spark, d)
-    return slices.decoy_rate(_pool(spark, d), t, t.filter(F.col("s1_id").endswith("0")).select("s1_id"))
+    pool, some = _pool(spark, d)
+    return slices.decoy_rate(pool, truth(spark, d), some)
 
 
 @query("val_slice")
@@ -666,9 +753,33 @@ def _scan_tsv(spark, d):
     return records.scan_tsv(spark, path)
 
 
-@query("validate_output", "SELECT 'matches' AS file, 'error' AS severity, * FROM (VALUES ('duplicate row', 1::BIGINT), ('duplicate in list', 1::BIGINT), ('reference id in list', 1::BIGINT), ('id of no source', 1::BIGINT), ('row without tab', 1::BIGINT), ('missing id', 1::BIGINT), ('extra id', 1::BIGINT)) v(\"check\", n)")
+#: The file holds the truth's lists but for the third sources' ids, its own id in each list, and is asked for all ids but the third digit's.
+@query("validate_output", sql("""SELECT 'matches' AS file, 'error' AS severity, "check", n FROM (
+  SELECT 'reference id in list' AS "check", count(*) AS n FROM ids UNION ALL SELECT 'unknown id', count(DISTINCT cand_id) FROM (SELECT cand_id FROM truth UNION ALL SELECT s1_id FROM ids) WHERE cand_id NOT LIKE 'S2-%'
+  UNION ALL SELECT 'extra id', count(*) FROM ids WHERE s1_id IN (SELECT s1_id FROM truth) UNION ALL SELECT 'missing id', count(DISTINCT cand_id) FROM truth) WHERE n > 0""", "ids", "truth"))
 def _validate(spark, d):
-    lines = ["source1_entity_id\tmatched_entity_ids", "S1-1\tS2-1,S2-1", "S1-2\t", "", "S1-2\tS1-9,S3-1", "S1-4\tX-1", "no tab"]
-    table = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
-    required = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "s1_id string")
-    return sinks.validate_lines(table, sinks.MATCH_HEADER, "matches", required)
+    path = new_path(spark, "matches")
+    own = ids(spark, d).select("s1_id", F.col("s1_id").alias("cand_id"))
+    pairs = truth(spark, d).select("s1_id", "cand_id")
+    sinks.write_id_lists(pairs.unionByName(own), ids(spark, d), sinks.MATCH_HEADER, path)
+    known = raw(spark, d).filter(F.col("entity_id").startswith("S2-")).select(F.col("entity_id").alias("id"))
+    required = ids(spark, d).select("s1_id").join(pairs.select("s1_id"), "s1_id", "left_anti").unionByName(pairs.select(F.col("cand_id").alias("s1_id")).distinct())
+    return sinks.validate_lines(sinks.read_lines(spark, path), sinks.MATCH_HEADER, "matches", required, known)
+
+
+@query("normalization_examples", sql("SELECT entity_id, country, business_name AS raw, name_full AS normalized_full, name_core, NULL::VARCHAR AS transliterated, NULL::VARCHAR AS normalized_after FROM norm QUALIFY row_number() OVER (PARTITION BY country ORDER BY md5(entity_id || ':42'), entity_id) <= 5", "norm"))
+def _examples(spark, d):
+    return learning.normalization_examples(raw(spark, d), suffixes(spark, d))
+
+
+@query("source_views", sql("SELECT 'train_source' || k AS name, count(r.entity_id) AS n FROM (VALUES ('1'), ('2'), ('3')) v(k) LEFT JOIN records r ON substr(r.entity_id, 2, 1) = k GROUP BY k UNION ALL SELECT 'test_source' || k, 0 FROM (VALUES ('1'), ('2'), ('3')) v(k) UNION ALL SELECT 'train_ground_truth', count(*) FROM ids", "records", "ids"))
+def _source_views(spark, d):
+    """Records and truth written as files, read back through the views of the catalog."""
+    root = new_path(spark, "catalog")
+    flat = raw(spark, d).select(*[F.regexp_replace(c, r"[\t\r\n]+", " ").alias(c) for c in ("entity_id", "business_name", "business_address", "country")])
+    for k in (1, 2, 3):
+        flat.filter(F.col("entity_id").startswith(f"S{k}-")).write.csv(f"{root}/train_source{k}.tsv", sep="\t", header=True, quote="", emptyValue="")
+        flat.limit(0).write.csv(f"{root}/test_source{k}.tsv", sep="\t", header=True, quote="", emptyValue="")
+    sinks.write_id_lists(truth(spark, d), ids(spark, d), sinks.MATCH_HEADER, f"{root}/train_ground_truth.tsv")
+    counts = [spark.table(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in records.register_catalog(spark, root)]
+    return reduce(DataFrame.unionByName, counts)

@@ -55,9 +55,9 @@ def _filter(spark, d, priority="1-URGENT"):
     return table(spark, d, "orders").filter(F.col("o_orderpriority") == F.lit(priority)).select("o_orderkey", "o_totalprice")
 
 
-@query("regex_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[0-9]') AND NOT regexp_matches(p_name, '^[0-9]+$')")
+@query("regex_filter", "SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '[5-9]$') AND NOT regexp_matches(c_name, '00[0-9]$')")
 def _regex(spark, d):
-    return table(spark, d, "part").filter(F.col("p_name").rlike("[0-9]") & ~F.col("p_name").rlike("^[0-9]+$")).select("p_partkey", "p_name")
+    return table(spark, d, "customer").filter(F.col("c_name").rlike("[5-9]$") & ~F.col("c_name").rlike("00[0-9]$")).select("c_custkey", "c_name")
 
 
 @query("in_list", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (1, 3, 7)")
@@ -71,9 +71,10 @@ def _semi_filter(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(keys, "c_custkey", "left_semi")
 
 
-@query("anti_filter", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_filter", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _anti_filter(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("case_map", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status, CASE WHEN o_totalprice > 100000 THEN 2.0 ELSE 0 END::DOUBLE AS bonus FROM orders")
@@ -104,9 +105,10 @@ def _left(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
-@query("anti_join_null", "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+@query("anti_join_null", "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' WHERE o_orderkey IS NULL")
 def _anti_null(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    part = table(spark, d, "orders").filter("o_orderstatus = 'P'")
+    return table(spark, d, "customer").join(part, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("anti_join_exists", "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45)")
@@ -173,9 +175,10 @@ def _union(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("c").alias("typ")).unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("s").alias("typ")))
 
 
-@query("set_diff", "SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_diff", "SELECT l_partkey AS k FROM lineitem EXCEPT SELECT l_suppkey FROM lineitem")
 def _diff(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct().join(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    lines = table(spark, d, "lineitem")
+    return lines.select(F.col("l_partkey").alias("k")).distinct().join(lines.select(F.col("l_suppkey").alias("k")), "k", "left_anti")
 
 
 @query("set_intersect", "SELECT l_partkey AS k FROM lineitem INTERSECT SELECT l_suppkey FROM lineitem")
