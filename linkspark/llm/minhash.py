@@ -35,9 +35,11 @@ RUN = 3
 SMALL = 40
 #: Values of the K least of a union that are shared, at least.
 ESTIMATE = 23
-#: Members compared at once, and shingles compared at once; larger groups are cut and the cuts compared pairwise.
+#: Members compared at once, and shingles compared at once, each text counted as some more: a task keeps a number for
+#: each two texts. Larger groups are cut into chunks.
 CHUNK = 512
 CHUNK_SHINGLES = 128 << 10
+TEXT_SHINGLES = 128
 PERCENT = 80
 #: Bytes of text hashed at once; each byte takes some eight-byte numbers meanwhile.
 SLICE_BYTES = 1 << 20
@@ -180,7 +182,7 @@ def _common(sets: list[np.ndarray], n_rows: int) -> np.ndarray:
     owner, column = owner[use], column[which[use]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((n_rows, n_rows), np.float32)
+    out = np.zeros((n_rows, n_rows), np.float64)
     width = 4096
     n_columns = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, n_columns, width):
@@ -188,12 +190,12 @@ def _common(sets: list[np.ndarray], n_rows: int) -> np.ndarray:
         part = np.zeros((n_rows, min(width, n_columns - at)), np.float32)
         part[owner[a:b], column[a:b] - at] = 1
         out += part @ part.T
-    return out.astype(np.int64)
+    return out
 
 
 def similar(common: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of at least PERCENT, exactly, from sizes and what is shared."""
-    return 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
+    """Jaccard similarity of at least PERCENT, exactly, from sizes and what is shared; whole numbers under 2**53 are exact as floats."""
+    return (100.0 + PERCENT) * common >= float(PERCENT) * (n[:, None] + n[None, :])
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -300,7 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     def confirm(table: pa.Table) -> pa.Table:
         return _confirmed(table, words)
 
-    joined = components(group_edges(texts, ["family"], "class", "n", CHUNK_SHINGLES, confirm))
+    joined = components(group_edges(texts, ["family"], "class", f"n + {TEXT_SHINGLES}", CHUNK_SHINGLES, confirm))
     return name_components(members, joined, "doc_id", "class").withColumnRenamed("n", "n_shingles").drop("class")
 
 
