@@ -152,7 +152,8 @@ def buckets(df: DataFrame) -> int:
 def runs(bucket: np.ndarray) -> dict[int, slice]:
     """Where each bucket lies in an ascending array of buckets; only those that occur."""
     some, first = np.unique(bucket, return_index=True)
-    return {k: slice(a, b) for k, a, b in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)}
+    ends = np.append(first, len(bucket))[1:].tolist()
+    return {k: slice(a, b) for k, a, b in zip(some.tolist(), first.tolist(), ends, strict=True)}
 
 
 @contextmanager

@@ -176,7 +176,8 @@ def _judged(rows: DataFrame, length: int, texts: bool, hashes: WordHashes, n_buc
             for stretch in right.column("stretch"):
                 words = stretch.as_py().split(b" ")
                 values = hashes.windows(hashes.of(words), length)
-                at = np.minimum(np.searchsorted(w.hashes, values), len(w.hashes) - 1)
+                bad = bad or not len(w.hashes)
+                at = np.minimum(np.searchsorted(w.hashes, values), max(0, len(w.hashes) - 1))
                 bad = bad or bool((w.hashes[at] != values).any()) or not _agree(words, np.arange(len(values)), w.words, w.first[at], length)
         return pa.table([pa.array([-1] * bad, pa.int64())], ["block"])
 

@@ -125,6 +125,20 @@ def test_urls(table, most):
         assert got == sorted(((i, *slow_judge(u, use)) for i, u, _ in pages()), key=str)
 
 
+def test_long_urls_and_clashing_names(spark):
+    rows = [(1, "http://" + "a." * 100_000 + "example.com/en/7" + "/x" * 100_000, "net/"), (2, "http://EXAMPLE.com/en/" + "7" * 500_000, "allow")]
+    table = spark.createDataFrame(rows, "page_id long, url string, rule string").selectExpr("*", "'x' AS host", "'y' AS path", "'z' AS verdict")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(table).collect()}
+    assert got == {i: slow_judge(u, list(url_filter.RULES)) for i, u, _ in rows}
+
+
+def test_embeddings_with_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (None, [1.0, 0.05], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", *[f"'x' AS `{c}`" for c in ("class", "digest", "weight", "vector", "size", "cell", "chunk", "lo", "hi", "links")])
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False)], key=str)
+
+
 def test_no_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -309,6 +323,11 @@ def test_hashes_are_sums_and_polynomials():
     assert set(hashing.WordHashes(4).of(words).tolist()).isdisjoint(h.of(words).tolist())
 
 
+def test_runs_of_buckets():
+    assert blocks.runs(np.array([2, 2, 5, 9, 9, 9])) == {2: slice(0, 2), 5: slice(2, 3), 9: slice(3, 6)}
+    assert blocks.runs(np.empty(0, np.int64)) == {}
+
+
 def test_packed_numbers():
     rnd = np.random.default_rng(2)
     x = np.sort(rnd.integers(0, 2**64, 1000, dtype=np.uint64))

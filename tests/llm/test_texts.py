@@ -85,6 +85,42 @@ def test_mix_emits_copies(docs, none):
     assert mixing.plan_mix(mixing.sizes_of(none)).count() == 0
 
 
+def test_mix_of_many_sources_and_long_texts(spark):
+    rows = [(k, "w " * (k * 37 % 101), f"s{k % 700:04}" if k % 9 else None) for k in range(3000)] + [(3000, "word " * 500_000, "s0001")]
+    got = mixing.plan_mix(mixing.sizes_of(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))).collect()
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(words(text))
+    order = [*sorted(x for x in sizes if x is not None), None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    left, total, target = float(sum(sizes.values())), float(sum(weight.values())), {}
+    for s in sorted(order, key=lambda x: 3 * sizes[x] / weight[x]):
+        target[s] = min(3.0 * sizes[s], left / total * weight[s])
+        left, total = left - target[s], total - weight[s]
+    assert len(got) == len(rows) and all(r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] for r in got)
+
+
+def test_ogg_of_long_texts(spark):
+    rows = [(1, "é" * 700_000), (2, "x" * 64), (2, "x" * 65)]
+    got = ogg.read_media(ogg.encode_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    for i, text in rows:
+        data = text.encode()
+        payload = data + bytes(-len(data) % 64)
+        (r,) = [r for r in got if r.doc_id == i and r.n_bytes == len(data)]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+
+
+def test_columns_with_clashing_names(spark):
+    odd = ["block", "data", "class", "digest", "row", "n", "sketch", "label", "words", "family", "hash", "size", "spans", "blob", "ids", "code", "rank", "_row", "_place", "holder", "stretch", "at", "component_id", "kept"]
+    docs = spark.createDataFrame(documents(), SCHEMA).selectExpr("*", *[f"'{c}' AS `{c}`" for c in odd])
+    plain = spark.createDataFrame(documents(), SCHEMA)
+    for run in (
+        lambda x: mixing.plan_mix(mixing.sizes_of(x)).select("doc_id", "target", "taken"), substring_dedup.removed_words, bpe.encode_documents, lambda x: language.identify(x, language.learn(x)),
+        secrets.scan_versions, lambda x: ogg.read_media(ogg.encode_media(x)), lambda x: minhash.near_duplicates(x, 2).select("doc_id", "n_shingles", "component_id", "kept"),
+    ):
+        assert sorted(map(str, run(docs).collect())) == sorted(map(str, run(plain).collect()))
+
+
 def test_mix_of_nothing(spark):
     sizes = spark.createDataFrame([(1, "a", 0), (2, None, 0)], "doc_id long, source string, size long")
     assert [(r.target, r.taken) for r in mixing.plan_mix(sizes).collect()] == [(0.0, 0), (0.0, 0)]
@@ -124,6 +160,12 @@ def test_substrings(docs, none, length):
     assert substring_dedup.removed_words(none, length).count() == 0
 
 
+def test_no_windows_at_all(spark):
+    rows = [(1, "a b c", None, None, None), (2, None, None, None, None), (3, "a b c", None, None, None)]
+    got = substring_dedup.removed_words(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 3, 0), (2, 0, 0), (3, 3, 0)]
+
+
 def test_substrings_of_repeated_ids(docs):
     got = by_id(substring_dedup.removed_words(docs).collect())
     assert sorted(r.n_removed for r in got[12]) == [0, 20]
