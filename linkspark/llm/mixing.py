@@ -31,23 +31,40 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _in_order(rows: DataFrame, order: Sequence[Column], sums: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with _place, their place in an order, and _before_<column>, the sum of a column over all rows before.
+
+    Each range of the order is numbered and summed by a task of its own; what the ranges before it hold is added, a row a range.
+    """
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    first, before = Window.partitionBy("_range").orderBy(*order), Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy("_range").agg(F.count("*").alias("_rows"), *[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    offsets = held.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows"), *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0.0)).alias(f"_sum_{c}") for c in sums])
+    earlier = first.rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.select("*", F.row_number().over(first).alias("_local"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"_here_{c}") for c in sums])
+    placed = local.join(F.broadcast(offsets), "_range")
+    return placed.select(*rows.columns, (F.col("_rows") + F.col("_local") - 1).alias("_place"), *[(F.col(f"_sum_{c}") + F.col(f"_here_{c}")).alias(f"_before_{c}") for c in sums])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """(source, source_size, target): one row per source from rows (source, size).
 
     Sources in code point order, null last, take the weights in turn and share the sum of all sizes. A target stops
     at ``max_repeat`` times its source; the excess is shared again by weight. With sources sorted by cap / weight
-    the level that fills all is the largest (total - caps before) / (weights from here on), so two windows over one
+    the level that fills all is the largest (total - caps before) / (weights from here on), so running sums over one
     row per source replace the iteration. Sources of size 0 get 0.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    capped = totals.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * F.lit(float(max_repeat)))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after, every = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing), by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = capped.withColumn("level", left / F.sum("weight").over(after))
-    return level.select("source", "source_size", F.least("cap", F.max("level").over(every) * F.col("weight")).alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights) + 1).cast("int"))
+    weighed = _in_order(totals, [by_name], [], "sources").withColumn("weight", weight).drop("_place")
+    capped = weighed.withColumn("cap", F.col("source_size").cast("double") * F.lit(float(max_repeat))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    filled = _in_order(capped, [F.col("ratio").asc(), by_name], ["cap", "weight"], "sources-by-cap")
+    every = filled.agg(F.sum("source_size").cast("double").alias("_all"), F.sum("weight").alias("_weights"))
+    level = filled.join(F.broadcast(every)).withColumn("level", (F.col("_all") - F.col("_before_cap")) / (F.col("_weights") - F.col("_before_weight")))
+    level = materialize(level.select("source", "source_size", "cap", "weight", "level"), "levels")
+    highest = level.agg(F.max("level").alias("_level"))
+    return level.join(F.broadcast(highest)).select("source", "source_size", F.least("cap", F.col("_level") * F.col("weight")).alias("target"))
 
 
 def plan_mix(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: str = SEED) -> DataFrame:
