@@ -1,8 +1,8 @@
 """Candidate pairs by blocks. A block pairs a reference record (s1_id) with at most a cap of candidates (cand_id).
 
-Country is a key of every join, never a loop. Fan-out is pruned before the join that would fan out: by token counts, to
-a cap's least ids of a key where ids alone rank, or to the grams that a similar pair must share. Each block is cut to its
-cap before blocks are united.
+Country is a key of every join, never a loop. Where ids alone rank, a key's candidates are cut to a cap's least ids before the
+join; where sums over shared tokens rank, they are added up in lists, without a row for a pair (``products``). Each
+block is cut to its cap before blocks are united.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text
+from linkspark.operators import products
 from linkspark.operators.config import BlockingConfig
 from linkspark.operators.learning import normalized, suffix_tokens
 from linkspark.sources.storage import written
@@ -54,7 +55,7 @@ def _top(pairs: DataFrame, order: list[Column], cap: int) -> DataFrame:
     return ranked.filter(F.col("_rank") <= cap).select("s1_id", "cand_id")
 
 
-def _sides(s1: DataFrame, cand: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def _sides(s1: DataFrame, cand: DataFrame, columns: list[str | Column]) -> tuple[DataFrame, DataFrame]:
     return s1.select(F.col("entity_id").alias("s1_id"), *columns), cand.select(F.col("entity_id").alias("cand_id"), *columns)
 
 
@@ -74,16 +75,32 @@ def block_exact_core(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAU
 
 
 def rarity_scores(s1_tokens: DataFrame, cand_tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """(s1_id, cand_id, score): sums of 1 / df over shared tokens, counted as often as they occur."""
+    """(s1_id, cand_id, score): sums of 1 / df over shared tokens, counted as often as they occur; a row for every pair that shares one."""
     a = s1_tokens.select(F.col("entity_id").alias("s1_id"), "country", "token").join(counts, ["country", "token"])
     b = cand_tokens.select(F.col("entity_id").alias("cand_id"), "country", "token")
     return a.join(b, ["country", "token"]).groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.lit(1.0) / F.col("df")), 9).alias("score"))
 
 
+def rarity_vectors(s1_tokens: DataFrame, cand_tokens: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors of both sides whose products are the scores of ``rarity_scores``."""
+    terms = products.numbered(counts.withColumn("w", F.lit(1.0) / F.col("df")).withColumn("one", F.lit(1.0)), "terms")
+    x = s1_tokens.withColumnRenamed("entity_id", "s1_id").join(terms, ["country", "token"])
+    y = cand_tokens.withColumnRenamed("entity_id", "cand_id").join(terms, ["country", "token"])
+    return products.vectors(x, "s1_id", "w"), products.vectors(y, "cand_id", "one")
+
+
+def _best(scored: DataFrame, cap: int) -> DataFrame:
+    return _top(scored, [F.col("score").desc(), F.col("cand_id")], cap)
+
+
+def rare_token_df(cand_tokens: DataFrame, suffixes: DataFrame, most: int) -> DataFrame:
+    return token_df(cand_tokens).filter(F.col("df") <= most).join(suffixes.select("country", "token"), ["country", "token"], "left_anti")
+
+
 def block_rare_token(s1_tokens: DataFrame, cand_tokens: DataFrame, suffixes: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
     """Shared name tokens that are neither stop tokens nor common among candidates, rarer ones counting more."""
-    counts = token_df(cand_tokens).filter(F.col("df") <= cfg.max_name_token_df).join(suffixes.select("country", "token"), ["country", "token"], "left_anti")
-    return _top(rarity_scores(s1_tokens, cand_tokens, counts), [F.col("score").desc(), F.col("cand_id")], cfg.per_block_cap)
+    a, b = rarity_vectors(s1_tokens, cand_tokens, rare_token_df(cand_tokens, suffixes, cfg.max_name_token_df))
+    return _best(products.top_products(a, b, cfg.per_block_cap), cfg.per_block_cap)
 
 
 def block_postal(s1: DataFrame, cand: DataFrame, s1_tokens: DataFrame, cand_tokens: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
@@ -130,10 +147,10 @@ def block_geo(s1_geo: DataFrame, cand_geo: DataFrame, cfg: BlockingConfig = DEFA
 def block_address(s1: DataFrame, cand: DataFrame, s1_tokens: DataFrame, cand_tokens: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
     """Shared rare address tokens, with a bonus for equal house numbers."""
     counts = token_df(cand_tokens).filter(F.col("df").between(cfg.min_address_token_df, cfg.max_address_token_df))
-    a, b = _sides(s1, cand, ["house_number"])
-    scored = rarity_scores(s1_tokens, cand_tokens, counts).join(a, "s1_id").join(b.withColumnRenamed("house_number", "other"), "cand_id")
-    bonus = F.when(F.col("house_number") == F.col("other"), F.lit(cfg.house_number_bonus)).otherwise(F.lit(0.0))
-    return _top(scored.withColumn("score", F.round(F.col("score") + bonus, 9)), [F.col("score").desc(), F.col("cand_id")], cfg.per_block_cap)
+    a, b = rarity_vectors(s1_tokens, cand_tokens, counts)
+    x, y = _sides(s1, cand, [F.col("house_number").alias("mark")])
+    scored = products.top_products(a.join(x, "s1_id"), b.join(y, "cand_id"), cfg.per_block_cap, bonus=cfg.house_number_bonus)
+    return _best(scored, cfg.per_block_cap)
 
 
 def gram_weights(records: DataFrame, cfg: BlockingConfig = DEFAULT, column: str = "name_core") -> DataFrame:

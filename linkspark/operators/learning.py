@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,19 +107,55 @@ def overlap_stages(pairs: DataFrame, token_map: DataFrame) -> DataFrame:
     return out
 
 
+#: Pairs of tokens that a batch looks at in one step.
+_TOKEN_PAIRS = 1 << 20
+
+
+def _votes(a: pa.ListArray, b: pa.ListArray, min_ratio: float) -> pa.Table:
+    """Votes of a batch; a token that its partner's text has too votes for itself, which doesn't count, so it is not compared."""
+    n_a, n_b = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    flat = [x.flatten() for x in (a, b)]
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    left, right = codes[: len(flat[0])], codes[len(flat[0]) :]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    starts, partners = np.repeat(np.cumsum(n_b) - n_b, n_a), np.repeat(n_b, n_a)
+    steps, found = np.cumsum(partners) // _TOKEN_PAIRS, []
+    for step in np.unique(steps):
+        here = slice(*np.searchsorted(steps, [step, step + 1]))
+        m, token = partners[here], left[here]
+        at = np.repeat(np.arange(len(m)), m)
+        x, y = token[at], right[np.arange(len(at)) - np.repeat(np.cumsum(m) - m - starts[here], m)]
+        same = np.zeros(len(m), bool)
+        same[at[x == y]] = True
+        some = ~same[at] & (200.0 * np.minimum(size[x], size[y]) / (size[x] + size[y]) >= min_ratio)
+        keys, which = np.unique(x[some] * len(words) + y[some], return_inverse=True)
+        score = batches.ratios([(words[k // len(words)], words[k % len(words)]) for k in keys.tolist()])[which]
+        at, enough = at[some], score >= min_ratio
+        at, score, which = at[enough], score[enough], which[enough]
+        best = np.full(len(m), -1.0)
+        np.maximum.at(best, at, score)
+        top = score == best[at]
+        found.append(keys[which[top][np.unique(at[top], return_index=True)[1]]])
+    keys, votes = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+    named = pa.array(words, pa.string())
+    return pa.table({"translit_token": named.take(pa.array(keys // max(1, len(words)))), "latin_token": named.take(pa.array(keys % max(1, len(words)))), "votes": pa.array(votes, pa.int64())})
+
+
 def align_votes(pairs: DataFrame, min_ratio: float = 65.0) -> DataFrame:
     """(translit_token, latin_token, votes) of (translit, latin) texts: each token's first best partner in its pair.
 
-    Only partners that differ and are at least ``min_ratio`` alike count.
+    Only partners that differ and are at least ``min_ratio`` alike count. Tokens are compared within batches of pairs, and only
+    votes are exchanged: a row for each two tokens of a pair would be many times the input.
     """
-    ids = written(pairs.select(F.monotonically_increasing_id().alias("pair"), text.tokens(F.col("translit")).alias("a"), text.tokens(F.col("latin")).alias("b")), "alignment")
-    exploded = ids.select("pair", "b", F.posexplode("a").alias("at", "translit_token")).select("pair", "at", "translit_token", F.posexplode("b").alias("place", "latin_token"))
-    distinct = exploded.select("translit_token", "latin_token").distinct()
-    scored = distinct.withColumn("score", batches.ratio_of("translit_token", "latin_token"))
-    best = Window.partitionBy("pair", "at").orderBy(F.col("score").desc(), F.col("place"))
-    top = exploded.join(scored, ["translit_token", "latin_token"]).withColumn("k", F.row_number().over(best)).filter("k = 1")
-    kept = top.filter((F.col("score") >= min_ratio) & (F.col("translit_token") != F.col("latin_token")))
-    return kept.groupBy("translit_token", "latin_token").agg(F.count("*").alias("votes"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield from _votes(part.column(0), part.column(1), min_ratio).to_batches()
+
+    words = pairs.select(text.tokens(F.col("translit")).alias("a"), text.tokens(F.col("latin")).alias("b"))
+    votes = words.mapInArrow(run, "translit_token string, latin_token string, votes long")
+    return votes.groupBy("translit_token", "latin_token").agg(F.sum("votes").alias("votes"))
 
 
 def dominant_map(votes: DataFrame, min_votes: int = 5, min_share: float = 0.5) -> DataFrame:

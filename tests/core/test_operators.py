@@ -1,9 +1,12 @@
 """Blocks, decisions, metrics, learning, files."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.operators import blocking, decide, evaluate, features, learning, model, slices
+from linkspark.functions import similarity
+from linkspark.operators import blocking, decide, evaluate, features, learning, model, products, slices
 from linkspark.operators.config import BlockingConfig, DecideConfig, ModelConfig
 from linkspark.sources import records, sinks, storage
 
@@ -92,6 +95,35 @@ def test_gram_block(spark):
     assert blocking.block_tfidf(*blocking.split_sources(same), BlockingConfig(gram_max_df=1.0, gram_min_similarity=0.0, per_block_cap=5)).count() == 5
 
 
+@pytest.mark.parametrize("chunks", [(3, 4), (1 << 14, 1 << 16)])
+def test_blocks_of_sums_make_no_rows_of_pairs(spark, monkeypatch, chunks):
+    monkeypatch.setattr(products, "REFERENCES", chunks[0])
+    monkeypatch.setattr(products, "CANDIDATES", chunks[1])
+    words = ["alba", "brook", "cedar", "delta", "ember", "fjord"]
+    rows = [(f"S{1 + k % 3}-{k:03}", " ".join(words[(k * j) % 6] for j in range(1, 2 + k % 4)), f"{k % 5} " + " ".join(words[(k + j * j) % 6] for j in range(k % 3)), "UV"[k % 7 == 0]) for k in range(60)] + [("S1-900", "alba", None, None), ("S2-900", "alba", None, None)]
+    cfg = BlockingConfig(per_block_cap=4, min_address_token_df=1, gram_max_df=1.0)
+    s1, cand = blocking.split_sources(storage.written(norm(spark, rows), "norm"))
+    a, b, x, y = blocking.name_tokens(s1), blocking.name_tokens(cand), blocking.address_tokens(s1), blocking.address_tokens(cand)
+
+    def best(scores):
+        found = {}
+        for (one, other), score in sorted(scores.items(), key=lambda z: (-z[1], z[0][1])):
+            found.setdefault(one, []).append(other)
+        return {(one, other) for one, others in found.items() for other in others[: cfg.per_block_cap]}
+
+    def sums(tokens, others):
+        return {(r.s1_id, r.cand_id): r.score for r in blocking.rarity_scores(tokens, others, blocking.token_df(others)).collect()}
+
+    house = {r.entity_id: r.house_number for r in s1.unionByName(cand).collect()}
+    near = {p: round(v + 2.0 * (house[p[0]] is not None and house[p[0]] == house[p[1]]), 9) for p, v in sums(x, y).items()}
+    plain = BlockingConfig(per_block_cap=4, max_name_token_df=10_000)
+    blocks = {"rare": (blocking.block_rare_token(a, b, no_suffixes(spark), plain), sums(a, b)), "address": (blocking.block_address(s1, cand, x, y, cfg), near)}
+    for found, scores in blocks.values():
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert pairs_of(found) == best(scores) and found.count() == len(best(scores))
+        assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
+
+
 def test_union_and_cap(spark):
     a = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-1"), ("S1-1", "S2-2")], "s1_id string, cand_id string")
     b = spark.createDataFrame([("S1-1", "S2-2")], "s1_id string, cand_id string")
@@ -209,6 +241,23 @@ def test_alignment(spark):
     assert {r.stage: r.n_overlap for r in stages.collect()} == {"none": 0, "schwa": 0, "map": 1}
 
 
+@pytest.mark.parametrize("step", [5, 1 << 20])
+def test_alignment_makes_no_rows_of_token_pairs(spark, monkeypatch, step):
+    monkeypatch.setattr(learning, "_TOKEN_PAIRS", step)
+    words = ["praivet", "private", "pirate", "limited", "limted", "ltd", "a", "ab", "bolt", "belt"]
+    rows = [(" ".join(words[(k * j) % 10] for j in range(k % 7)), " ".join(words[(k + 3 * j) % 10] for j in range(k % 5))) for k in range(60)] + [(None, "ab"), ("ab", None), ("x " * 40, "y ab")]
+    want = Counter()
+    for a, b in rows:
+        for x in (a or "").split():
+            scored = [(-similarity.ratio(x, y), k, y) for k, y in enumerate((b or "").split())]
+            if scored and -min(scored)[0] >= 65 and min(scored)[2] != x:
+                want[x, min(scored)[2]] += 1
+    votes = learning.align_votes(spark.createDataFrame(rows, "translit string, latin string"))
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert {(r.translit_token, r.latin_token): r.votes for r in votes.collect()} == want
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("most", [10, 0])
 def test_token_map_by_value_or_join(spark, monkeypatch, most):
     monkeypatch.setattr(learning, "MAX_MAP_ENTRIES", most)
