@@ -1,7 +1,7 @@
 """Candidate pairs by blocks. A block pairs a reference record (s1_id) with at most a cap of candidates (cand_id).
 
 Country is a key of every join, never a loop. Where ids alone rank, a key's candidates are cut to a cap's least ids before the
-join; where sums over shared tokens rank, they are added up in lists, without a row for a pair (``products``). Each
+join; where sums over shared tokens or grams rank, they are added up in lists, without a row for a pair (``products``). Each
 block is cut to its cap before blocks are united.
 """
 
@@ -168,41 +168,20 @@ def gram_weights(records: DataFrame, cfg: BlockingConfig = DEFAULT, column: str
     idf = df.select("country", "gram", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     raw = tf.join(idf, ["country", "gram"]).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "entity_id").select("entity_id", "country", "gram", (F.col("raw") / F.col("norm")).alias("weight"), "idf")
-
-
-def leading_grams(weights: DataFrame, least: float) -> DataFrame:
-    """The rarest grams of each record, without the commonest ones whose weights together have a length under ``least``.
-
-    Of two unit vectors with a product of ``least`` or more, the rarest gram in common leads in both: all that they have
-    in common follows it, and the product is at most the length of what follows in either.
-    """
-    common_first = Window.partitionBy("entity_id").orderBy("idf", "gram").rowsBetween(Window.unboundedPreceding, 0)
-    squares = weights.withColumn("_square", F.sum(F.col("weight") * F.col("weight")).over(common_first))
-    return squares.filter(F.col("_square") >= max(0.0, least) ** 2).drop("_square")
+    return raw.join(norm, "entity_id").select("entity_id", "country", "gram", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def block_tfidf(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAULT, column: str = "name_core") -> DataFrame:
-    """Cosine of character-gram weights; the best of each reference record.
-
-    Inverted lists hold leading grams only, so that grams which a large part of a country has meet nowhere but in the
-    vectors of pairs that share a rare one too.
-    """
+    """Cosine of character-gram weights; the best of each reference record."""
     both = s1.select("entity_id", "country", column).unionByName(cand.select("entity_id", "country", column))
     weights = written(gram_weights(both, cfg, column), "gram-weights")
-    leading = written(leading_grams(weights, cfg.gram_min_similarity - 1e-6).select("entity_id", "country", "gram"), "leading-grams")
-    vectors = weights.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("vector"))
-    vectors = written(vectors, "gram-vectors")
-
-    def side(rows: DataFrame, records: DataFrame, name: str) -> DataFrame:
-        return rows.join(records.select("entity_id"), "entity_id", "left_semi").withColumnRenamed("entity_id", name)
-
-    pairs = side(leading, s1, "s1_id").join(side(leading, cand, "cand_id"), ["country", "gram"]).select("s1_id", "cand_id").distinct()
-    a, b = side(vectors, s1, "s1_id"), side(vectors, cand, "cand_id").withColumnRenamed("vector", "other")
-    terms = F.transform(F.map_entries("other"), lambda x: x["value"] * F.coalesce(F.try_element_at("vector", x["key"]), F.lit(0.0)))
-    product = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
-    scored = pairs.join(a, "s1_id").join(b, "cand_id").select("s1_id", "cand_id", F.round(product, 9).alias("score"))
-    return _top(scored.filter(F.col("score") >= cfg.gram_min_similarity), [F.col("score").desc(), F.col("cand_id")], cfg.per_block_cap)
+    terms = products.numbered(weights.select("country", "gram").distinct(), "grams")
+
+    def side(records: DataFrame, name: str) -> DataFrame:
+        rows = weights.join(records.select("entity_id"), "entity_id", "left_semi").join(terms, ["country", "gram"])
+        return products.vectors(rows.withColumnRenamed("entity_id", name), name, "weight")
+
+    return _best(products.top_products(side(s1, "s1_id"), side(cand, "cand_id"), cfg.per_block_cap, cfg.gram_min_similarity), cfg.per_block_cap)
 
 
 def union_and_score(blocks: dict[str, DataFrame]) -> DataFrame:

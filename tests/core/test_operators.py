@@ -116,8 +116,12 @@ def test_blocks_of_sums_make_no_rows_of_pairs(spark, monkeypatch, chunks):
 
     house = {r.entity_id: r.house_number for r in s1.unionByName(cand).collect()}
     near = {p: round(v + 2.0 * (house[p[0]] is not None and house[p[0]] == house[p[1]]), 9) for p, v in sums(x, y).items()}
+    weight = {}
+    for r in blocking.gram_weights(s1.unionByName(cand), cfg).filter("country is not null").collect():
+        weight.setdefault((r.entity_id, r.country), {})[r.gram] = r.weight
+    alike = {(p[0], q[0]): round(sum(w * v.get(g, 0) for g, w in u.items()), 9) for p, u in weight.items() for q, v in weight.items() if p[0] < "S2" <= q[0] and p[1] == q[1]}
     plain = BlockingConfig(per_block_cap=4, max_name_token_df=10_000)
-    blocks = {"rare": (blocking.block_rare_token(a, b, no_suffixes(spark), plain), sums(a, b)), "address": (blocking.block_address(s1, cand, x, y, cfg), near)}
+    blocks = {"rare": (blocking.block_rare_token(a, b, no_suffixes(spark), plain), sums(a, b)), "address": (blocking.block_address(s1, cand, x, y, cfg), near), "grams": (blocking.block_tfidf(s1, cand, cfg), {p: v for p, v in alike.items() if v >= 0.3})}
     for found, scores in blocks.values():
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert pairs_of(found) == best(scores) and found.count() == len(best(scores))
