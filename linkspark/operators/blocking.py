@@ -51,8 +51,12 @@ def geo_tokens(records: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
 
 
 def _top(pairs: DataFrame, order: list[Column], cap: int) -> DataFrame:
-    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("s1_id").orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= cap).select("s1_id", "cand_id")
+    return ranked(pairs, order, cap).select("s1_id", "cand_id")
+
+
+def ranked(pairs: DataFrame, order: list[Column], cap: int) -> DataFrame:
+    """The first ``cap`` pairs of each reference record, with their _rank."""
+    return pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("s1_id").orderBy(*order))).filter(F.col("_rank") <= cap)
 
 
 def _sides(s1: DataFrame, cand: DataFrame, columns: list[str | Column]) -> tuple[DataFrame, DataFrame]:
@@ -105,12 +109,15 @@ def block_rare_token(s1_tokens: DataFrame, cand_tokens: DataFrame, suffixes: Dat
 
 def block_postal(s1: DataFrame, cand: DataFrame, s1_tokens: DataFrame, cand_tokens: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
     """Equal postal code and a shared name token; a pair stands once for each shared token, and the cap counts those."""
+    return _top(postal_pairs(s1, cand, s1_tokens, cand_tokens, cfg.per_block_cap), [F.col("cand_id")], cfg.per_block_cap)
+
+
+def postal_pairs(s1: DataFrame, cand: DataFrame, s1_tokens: DataFrame, cand_tokens: DataFrame, cap: int) -> DataFrame:
     a, b = _sides(s1.filter("postal_code is not null"), cand.filter("postal_code is not null"), ["country", "postal_code"])
     x = s1_tokens.select(F.col("entity_id").alias("s1_id"), "country", "token")
     y = cand_tokens.select(F.col("entity_id").alias("cand_id"), "country", "token")
     keys = ["country", "postal_code", "token"]
-    some = _least_of_key(b.join(y, ["cand_id", "country"]), keys, cfg.per_block_cap)
-    return _top(a.join(x, ["s1_id", "country"]).join(some, keys), [F.col("cand_id")], cfg.per_block_cap)
+    return a.join(x, ["s1_id", "country"]).join(_least_of_key(b.join(y, ["cand_id", "country"]), keys, cap), keys)
 
 
 def sorted_positions(s1: DataFrame, cand: DataFrame) -> DataFrame:
@@ -127,14 +134,18 @@ def sorted_positions(s1: DataFrame, cand: DataFrame) -> DataFrame:
     return local.join(F.broadcast(offsets), "part").select("entity_id", "country", "typ", (F.col("offset") + F.col("k")).alias("pos"))
 
 
-def block_sorted_neighborhood(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
-    """Candidates within ``window`` places in the order of core names, nearest first; other records take up places."""
+def neighbors(s1: DataFrame, cand: DataFrame, window: int) -> DataFrame:
+    """(s1_id, cand_id, dist) of candidates within ``window`` places in the order of core names; other records take up places."""
     placed = written(sorted_positions(s1, cand), "positions")
-    offsets = F.array(*[F.lit(k) for k in range(-cfg.window, cfg.window + 1) if k])
+    offsets = F.array(*[F.lit(k) for k in range(-window, window + 1) if k])
     a = placed.filter("typ = 's1'").select(F.col("entity_id").alias("s1_id"), "country", "pos", F.explode(offsets).alias("off"))
     b = placed.filter("typ = 'cand'").select(F.col("entity_id").alias("cand_id"), "country", F.col("pos").alias("at"))
-    near = a.withColumn("at", F.col("pos") + F.col("off")).join(b, ["country", "at"]).withColumn("dist", F.abs("off"))
-    return _top(near, [F.col("dist"), F.col("cand_id")], cfg.per_block_cap)
+    return a.withColumn("at", F.col("pos") + F.col("off")).join(b, ["country", "at"]).select("s1_id", "cand_id", F.abs("off").alias("dist"))
+
+
+def block_sorted_neighborhood(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
+    """Candidates within ``window`` places in the order of core names, nearest first."""
+    return _top(neighbors(s1, cand, cfg.window), [F.col("dist"), F.col("cand_id")], cfg.per_block_cap)
 
 
 def block_geo(s1_geo: DataFrame, cand_geo: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
@@ -144,10 +155,13 @@ def block_geo(s1_geo: DataFrame, cand_geo: DataFrame, cfg: BlockingConfig = DEFA
     return _top(a.join(_least_of_key(b, keys, cfg.per_block_cap), keys), [F.col("cand_id")], cfg.per_block_cap)
 
 
+def address_token_df(cand_tokens: DataFrame, cfg: BlockingConfig) -> DataFrame:
+    return token_df(cand_tokens).filter(F.col("df").between(cfg.min_address_token_df, cfg.max_address_token_df))
+
+
 def block_address(s1: DataFrame, cand: DataFrame, s1_tokens: DataFrame, cand_tokens: DataFrame, cfg: BlockingConfig = DEFAULT) -> DataFrame:
     """Shared rare address tokens, with a bonus for equal house numbers."""
-    counts = token_df(cand_tokens).filter(F.col("df").between(cfg.min_address_token_df, cfg.max_address_token_df))
-    a, b = rarity_vectors(s1_tokens, cand_tokens, counts)
+    a, b = rarity_vectors(s1_tokens, cand_tokens, address_token_df(cand_tokens, cfg))
     x, y = _sides(s1, cand, [F.col("house_number").alias("mark")])
     scored = products.top_products(a.join(x, "s1_id"), b.join(y, "cand_id"), cfg.per_block_cap, bonus=cfg.house_number_bonus)
     return _best(scored, cfg.per_block_cap)
@@ -173,6 +187,10 @@ def gram_weights(records: DataFrame, cfg: BlockingConfig = DEFAULT, column: str
 
 def block_tfidf(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAULT, column: str = "name_core") -> DataFrame:
     """Cosine of character-gram weights; the best of each reference record."""
+    return _best(gram_products(s1, cand, cfg, column), cfg.per_block_cap)
+
+
+def gram_products(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAULT, column: str = "name_core") -> DataFrame:
     both = s1.select("entity_id", "country", column).unionByName(cand.select("entity_id", "country", column))
     weights = written(gram_weights(both, cfg, column), "gram-weights")
     terms = products.numbered(weights.select("country", "gram").distinct(), "grams")
@@ -181,7 +199,7 @@ def block_tfidf(s1: DataFrame, cand: DataFrame, cfg: BlockingConfig = DEFAULT, c
         rows = weights.join(records.select("entity_id"), "entity_id", "left_semi").join(terms, ["country", "gram"])
         return products.vectors(rows.withColumnRenamed("entity_id", name), name, "weight")
 
-    return _best(products.top_products(side(s1, "s1_id"), side(cand, "cand_id"), cfg.per_block_cap, cfg.gram_min_similarity), cfg.per_block_cap)
+    return products.top_products(side(s1, "s1_id"), side(cand, "cand_id"), cfg.per_block_cap, cfg.gram_min_similarity)
 
 
 def union_and_score(blocks: dict[str, DataFrame]) -> DataFrame:

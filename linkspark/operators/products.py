@@ -33,9 +33,9 @@ def vectors(rows: DataFrame, record: str, weight: str) -> DataFrame:
 
 
 def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All values of lists, and the rows they are of."""
+    """All values of lists, and the rows they are of; a null list has none."""
     lists = lists.combine_chunks()
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
 
@@ -65,7 +65,7 @@ class Lists:
             return np.zeros(0, np.int64), np.zeros(0)
         rows = np.concatenate([self.rows[x] for x in lists])
         values = np.concatenate([self.weights[x] * weight for x, weight in zip(lists, weights.tolist(), strict=True)])
-        if len(rows) * 8 < self.n:
+        if len(rows) * 64 < self.n:
             at, which = np.unique(rows, return_inverse=True)
             sums = np.bincount(which, values)
             some = sums > least

@@ -1,12 +1,13 @@
 """Blocks, decisions, metrics, learning, files."""
 
+import dataclasses
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from linkspark.functions import similarity
-from linkspark.operators import blocking, decide, evaluate, features, learning, model, products, slices
+from linkspark.operators import blocking, decide, evaluate, features, learning, model, products, replay, slices
 from linkspark.operators.config import BlockingConfig, DecideConfig, ModelConfig
 from linkspark.sources import records, sinks, storage
 
@@ -128,6 +129,26 @@ def test_blocks_of_sums_make_no_rows_of_pairs(spark, monkeypatch, chunks):
         assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
 
 
+def test_replay_counts_what_each_block_finds(spark, monkeypatch):
+    monkeypatch.setattr(replay, "REFERENCES", 5)
+    words = ["alba", "brook", "cedar", "delta", "ember", "fjord"]
+    rows = [(f"S{1 + k % 3}-{k:03}", " ".join(words[(k * j) % 6] for j in range(1, 2 + k % 4)), f"{k % 5} " + " ".join(words[(k + j * j) % 6] for j in range(k % 4)) + (" 12345" if k % 4 else ""), "UV"[k % 7 == 0]) for k in range(60)] + [("S1-900", "alba", None, None), ("S2-900", "alba", None, None), ("S1-901", "", "", "U")]
+    records_ = storage.written(norm(spark, rows), "norm")
+    truth = spark.createDataFrame([(f"S1-{k:03}", f"S2-{j:03}") for k in range(0, 60, 3) for j in range(1, 60, 15)] * 2 + [("S1-000", "S2-none"), ("S1-none", "S2-001")], "s1_id string, cand_id string")
+    configs = {"first": BlockingConfig(per_block_cap=2, max_name_token_df=15, window=1), "more": BlockingConfig(per_block_cap=5, max_name_token_df=15, window=1), "most": BlockingConfig(per_block_cap=50, max_name_token_df=99, window=4)}
+    configs = {name: dataclasses.replace(c, min_geo_token_df=1, min_address_token_df=1, gram_max_df=1.0, with_grams=True) for name, c in configs.items()}
+    want, missed, true = set(), None, {(r.s1_id, r.cand_id) for r in truth.collect()}
+    for name, cfg in configs.items():
+        found = {block: pairs_of(pairs) for block, pairs in blocking.all_blocks(records_, no_suffixes(spark), cfg).items()}
+        found["all"] = set().union(*found.values())
+        missed = true - found["all"] if missed is None else missed
+        want |= {(name, block, len(pairs), len(pairs & true), len(pairs & missed)) for block, pairs in found.items() if pairs}
+    got = replay.relaxed_replay(truth, records_, no_suffixes(spark), configs)
+    assert set(map(tuple, got.collect())) == want and len({x[1] for x in want}) > 5
+    with pytest.raises(ValueError):
+        replay.relaxed_replay(truth, records_, no_suffixes(spark), configs | {"other": BlockingConfig()})
+
+
 def test_union_and_cap(spark):
     a = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-1"), ("S1-1", "S2-2")], "s1_id string, cand_id string")
     b = spark.createDataFrame([("S1-1", "S2-2")], "s1_id string, cand_id string")
