@@ -1,6 +1,7 @@
 """Blocks, decisions, metrics, learning, files."""
 
 import dataclasses
+import threading
 from collections import Counter
 
 import pytest
@@ -256,6 +257,19 @@ def test_folds_and_models(spark, tmp_path):
     assert model.importance(models, ["x"])[0][0] == "x"
 
 
+def test_folds_are_trained_two_at_a_time(spark, monkeypatch):
+    both, made = threading.Barrier(2), model._classifier
+
+    def classifier(cfg, fold):
+        both.wait(60)  # breaks if no other fold begins
+        return made(cfg, fold)
+
+    monkeypatch.setattr(model, "_classifier", classifier)
+    df = spark.createDataFrame([(f"S1-{k}", f"S2-{k}", float(k % 2), k % 2 + (k % 7) * 0.01) for k in range(200)], "s1_id string, cand_id string, label double, x double")
+    scored, models = model.train_oof(df, ["x"], ModelConfig(folds=2, iterations=2, depth=2, min_instances=1))
+    assert len(models) == 2 and all((r.proba > 0.5) == (r.label == 1) for r in scored.collect())
+
+
 def test_alignment(spark):
     rows = [("praivet limited", "private limited")] * 6 + [("praivet", "pirate")]
     votes = learning.align_votes(spark.createDataFrame(rows, "translit string, latin string"))
