@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import similarity
 from linkspark.operators import blocking, decide, evaluate, features, learning, model, products, replay, slices
 from linkspark.operators.config import BlockingConfig, DecideConfig, ModelConfig
+from linkspark.plans import record_queries
 from linkspark.sources import records, sinks, storage
 
 RECORD = "entity_id string, business_name string, business_address string, country string"
@@ -270,6 +271,26 @@ def test_folds_are_trained_two_at_a_time(spark, monkeypatch):
     assert len(models) == 2 and all((r.proba > 0.5) == (r.label == 1) for r in scored.collect())
 
 
+def test_queries_train_every_tree(spark, monkeypatch):
+    """What the trained queries ask of each fold, where only one tree is then grown."""
+    asked, folders, made = [], [], model._classifier
+
+    def classifier(cfg, fold):
+        asked.append(made(cfg, fold).getMaxIter())
+        return made(cfg, fold).setMaxIter(1)
+
+    pairs = spark.range(200).select(F.concat(F.lit("S1-"), "id").alias("s1_id"), F.concat(F.lit("S2-"), "id").alias("cand_id"), *[(F.col("id") % 2).cast("float").alias(c) for c in features.FEATURES[:22]])
+    monkeypatch.setattr(model, "_classifier", classifier)
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    monkeypatch.setattr(spark.sparkContext, "setCheckpointDir", folders.append)
+    monkeypatch.setattr(record_queries, "_features", lambda spark, d: pairs)
+    monkeypatch.setattr(record_queries, "truth", lambda spark, d: pairs.filter("n_blocks = 1").select("s1_id", "cand_id"))
+    _, scored, models = record_queries._trained(spark, "")
+    assert scored.count() == 200 and len(models) == 5
+    assert asked == [ModelConfig().iterations] * 5 == [300] * 5
+    assert len(folders) == 1  # else the lineage of 300 trees is never cut
+
+
 def test_alignment(spark):
     rows = [("praivet limited", "private limited")] * 6 + [("praivet", "pirate")]
     votes = learning.align_votes(spark.createDataFrame(rows, "translit string, latin string"))
